@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import pii, sharding, simhash
 
 QUERIES = {
+    "op3_pii_spans": pii.op3,
     "op4_simhash_near_dedup": simhash.op4,
+    "op5_histogram_sharding": sharding.op5,
 }
 SQL: dict[str, str] = {}
