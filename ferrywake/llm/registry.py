@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import pii, sharding, simhash
+from . import decontaminate, html_text, pii, sharding, simhash
 
 QUERIES = {
     "op3_pii_spans": pii.op3,
     "op4_simhash_near_dedup": simhash.op4,
     "op5_histogram_sharding": sharding.op5,
+    "op6_html_main_text": html_text.op6,
+    "op10_string_tiling_decontamination": decontaminate.op10,
 }
 SQL: dict[str, str] = {}
