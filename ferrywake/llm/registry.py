@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, pii, sharding, simhash
+from . import decontaminate, html_text, language, pii, sharding, simhash
 
 QUERIES = {
+    "op1_crf_language": language.op1,
     "op3_pii_spans": pii.op3,
     "op4_simhash_near_dedup": simhash.op4,
     "op5_histogram_sharding": sharding.op5,
