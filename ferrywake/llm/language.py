@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import only, table
 
@@ -61,7 +62,7 @@ def features(ws: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.nda
     out_f, out_w = [], []
 
     def add(kind: int, h: np.ndarray, w: np.ndarray) -> None:
-        x = (h + np.uint64(kind + 1) * c3) * c1
+        x = (h + np.uint64((kind + 1) * int(c3) % (1 << 64))) * c1
         x ^= x >> np.uint64(32)
         out_f.append(((x * c2) >> np.uint64(64 - BITS)).astype(np.int32))
         out_w.append(w)
@@ -232,8 +233,8 @@ def sample(docs: DataFrame, documents: int = SAMPLE, spans: int = SPANS, span: i
     return [(r.lang, r.words.split(" ")) for r in got]
 
 
-def _label(sent):
-    """Labels of batches of (doc_id, text)."""
+def _label(sent, names: list[str]):
+    """Batches of (unused, text, further columns) as the further columns with label and score."""
 
     def work(batches):
         model: Model | None = sent.value
@@ -272,7 +273,7 @@ def _label(sent):
                     done()
                     held, size = [], 0
             done()
-            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(lang), pa.array(best)], [*b.schema.names[2:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(lang), pa.array(best)], [*b.schema.names[2:], *names])
 
     return work
 
@@ -282,13 +283,12 @@ def train(docs: DataFrame) -> Model | None:
     return fit(sample(docs.where(F.col("doc_id").isNotNull() & ~held_out())))
 
 
-def label(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs (any columns, with text) with lang_pred and score appended; extra columns go through untouched."""
+def label(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs (any columns, with text) with label and score appended by the given names; other columns go through untouched."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    df = docs.select(F.lit(0).alias("__a"), F.col("text").alias("__b"), *names)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["lang_pred string", "score double"])
-    return df.mapInArrow(_label(sent), schema)
+    df = docs.select(F.lit(0).alias("__a"), F.col("text").alias("__b"), *docs.columns)
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return df.mapInArrow(_label(sent, list(names)), schema)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
