@@ -34,6 +34,8 @@ from .common import only, partitions, stash, table, texts_of
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LENGTH = 512
 PER_SHARD = 4096
+#: Tasks of the reading stage up to which their offsets are broadcast.
+TASKS = 1_000_000
 HEAD = np.dtype([("doc_id", "<i8"), ("chunk", "<i4"), ("tokens", "<i4")])
 NO_ID = -(1 << 63)
 ROUNDS = 6
@@ -142,17 +144,24 @@ def shards(docs: DataFrame, key: int = 1, ranks: str | None = None, length: int
     tokens = stash(tokenised(docs, ranks, length))
     seqs = F.ceil(F.col("n") / length).cast("long")
     counts = tokens.groupBy("part").agg(F.sum(seqs)).orderBy("part").collect()  # one number for each task that read the texts
-    total, offsets = 0, []
-    for part, n in counts:
-        offsets.append((part, total))
-        total += n
-    starts = spark.createDataFrame(offsets, "part long, base long")
+    base = np.append(0, np.cumsum([n for _, n in counts])).astype(np.int64)
+    total = int(base[-1])
     order, kind = Feistel(max(total, 1), key), record(length)
+    if len(counts) <= TASKS:  # two numbers for each task that read the texts: at most 16 MB
+        sent = spark.sparkContext.broadcast((np.array([p for p, _ in counts], np.int64), base))
+        placed = tokens.select("first", "doc_id", "n", "ids", "part")
+    else:
+        sent = None
+        starts = spark.createDataFrame([(p, int(x)) for (p, _), x in zip(counts, base)], "part long, base long")
+        placed = tokens.join(starts, "part").select((F.col("base") + F.col("first")).alias("first"), "doc_id", "n", "ids", "part")
 
     def records(batches):
         for b in batches:
             first, docs_, n = (b.column(i) for i in range(3))
             first, n = first.to_numpy(), n.to_numpy()
+            if sent is not None:
+                parts, starts_ = sent.value
+                first = first + starts_[np.searchsorted(parts, b.column(4).to_numpy())]
             ids = [np.frombuffer(x, "<u2") for x in b.column(3).to_pylist()]
             docs_ = docs_.fill_null(NO_ID).to_numpy(zero_copy_only=False)
             for i in range(0, len(ids), 256):  # a few rows at a time
@@ -172,7 +181,6 @@ def shards(docs: DataFrame, key: int = 1, ranks: str | None = None, length: int
                 by = rows.view(np.dtype((np.void, kind.itemsize)))
                 yield pa.RecordBatch.from_arrays([pa.array((slot // per_shard).astype(np.int32)), pa.array(slot), pa.array([x.tobytes() for x in by], pa.binary())], ["shard", "slot", "record"])
 
-    placed = tokens.join(starts, "part").select((F.col("base") + F.col("first")).alias("first"), "doc_id", "n", "ids")
     rows = placed.mapInArrow(records, "shard int, slot long, record binary")
     n_shards = -(-total // per_shard)
     spread = rows.repartition(max(1, min(n_shards, 8 * partitions(spark))), "shard")
