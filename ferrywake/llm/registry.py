@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, language, pii, sharding, simhash, training_order
+from . import cover_tree, decontaminate, html_text, language, pii, sharding, simhash, training_order
 
 QUERIES = {
     "op1_crf_language": language.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_simhash_near_dedup": simhash.op4,
     "op5_histogram_sharding": sharding.op5,
     "op6_html_main_text": html_text.op6,
+    "op7_cover_tree_near_dedup": cover_tree.op7,
     "op8_training_order": training_order.op8,
     "op10_string_tiling_decontamination": decontaminate.op10,
 }
