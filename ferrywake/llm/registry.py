@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from . import cover_tree, decontaminate, html_text, language, pii, sharding, simhash, training_order
+import corpus_pipeline
+
+from . import cover_tree, decontaminate, html_text, language, lattice, pii, sharding, simhash, suffix_dedup, training_order
 
 QUERIES = {
     "op1_crf_language": language.op1,
+    "op2_suffix_dedup": suffix_dedup.op2,
     "op3_pii_spans": pii.op3,
     "op4_simhash_near_dedup": simhash.op4,
     "op5_histogram_sharding": sharding.op5,
     "op6_html_main_text": html_text.op6,
     "op7_cover_tree_near_dedup": cover_tree.op7,
     "op8_training_order": training_order.op8,
+    "op9_gumbel_segmentations": lattice.op9,
+    "pipeline": corpus_pipeline.run,
     "op10_string_tiling_decontamination": decontaminate.op10,
 }
 SQL: dict[str, str] = {}

@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import only, partitions, runs, stash, table, texts_of
@@ -31,6 +31,7 @@ FOLD = bytes.maketrans(UPPER, LOWER)
 #: The contract's white space, \x20\x09-\x0D, is what bytes.split() splits on.
 BUCKET = 4096
 SMALL = 16
+NO_ID = -(1 << 63)
 
 
 def hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
@@ -59,14 +60,19 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, thash, fp): a hash of the text, and the fingerprint as a signed long."""
 
     def of(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in texts_of(b.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t, shingle) for t in texts_of(b.column(2))], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "thash", "fp"])
 
-    return only(docs, "doc_id", "text").mapInArrow(of, "doc_id long, fp long")
+    rows = only(docs, "doc_id", "text").select("doc_id", text_hash().alias("thash"), "text")
+    return rows.mapInArrow(of, "doc_id long, thash long, fp long")
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def _cut(free: list[int], parts: int) -> list[int]:
@@ -184,7 +190,7 @@ def near_links(classes: DataFrame, bits: int = 4, blocks: int = 7, bucket: int =
 
 
 def near_components(docs: DataFrame, shingle: int = 4, bits: int = 4, blocks: int = 7, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, fp, component_id) for each document."""
+    """(doc_id, thash, fp, component_id) for each document."""
     fps = stash(fingerprints(docs, shingle))
     classes = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     reach = components(near_links(classes.select("fp"), bits, blocks, bucket))
@@ -192,7 +198,17 @@ def near_components(docs: DataFrame, shingle: int = 4, bits: int = 4, blocks: in
     member = stash(member)
     ids = member.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = member.join(ids.hint("merge"), "root").select("fp", "component_id")
-    return fps.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(named.hint("merge"), "fp").select("doc_id", "thash", "fp", "component_id")
+
+
+def survivors(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
+    """One document of each component, that of the smallest id, with its columns. Rows with its id and text are one
+    document; a component without any id keeps one row of each text."""
+    found = near_components(docs, shingle, bits)
+    none = F.lit(NO_ID)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", none).alias("__id"), F.col("thash").alias("__th")).distinct()
+    marked = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), none), "__th": text_hash()})
+    return marked.join(kept.hint("merge"), ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"]).drop("__id", "__th")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
