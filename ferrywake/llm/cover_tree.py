@@ -32,6 +32,8 @@ from .common import only, partitions, stash, table
 from .graph import components, local_roots
 
 SLACK = 1e-9
+#: More than single precision can be off in a cosine of unit vectors.
+COARSE = np.float32(1e-4)
 UNIT = 16384
 PIVOTS = 512
 BATCH = 4096
@@ -41,7 +43,7 @@ class Tree:
     """Nodes over unit vectors: centre, covering radius, children, and the range of their points in `order`."""
 
     def __init__(self, x: np.ndarray, top: float = 1.0):
-        self.x = x
+        self.x, self.coarse = x, x.astype(np.float32)
         n = len(x)
         centre, radius, low, high, kids = [], [], [], [], []
         order = np.arange(n)
@@ -58,7 +60,7 @@ class Tree:
 
         def split(points: np.ndarray, at: int, r: float) -> list[int]:
             out = []
-            for c, mine in _net(x, points, r):
+            for c, mine in _net(self.coarse, points, r):
                 out.append(node(mine, at, c))
                 at += len(mine)
             return out
@@ -100,8 +102,11 @@ def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * (a @ b.T)))
 
 
-def _net(x: np.ndarray, points: np.ndarray, r: float):
-    """Centres further than r apart, in the order of the points, each with the points within r of it and of none before."""
+def _net(coarse: np.ndarray, points: np.ndarray, r: float):
+    """Centres further than r apart, in the order of the points, each with the points within r of it and of none before.
+
+    In single precision: a point near the border may go either way, and radii are measured afterwards."""
+    least = np.float32(1 - r * r / 2)
     owner = np.full(len(points), -1)
     centres: list[int] = []
     at = 0
@@ -113,12 +118,12 @@ def _net(x: np.ndarray, points: np.ndarray, r: float):
                 free = block[owner[block] < 0]
                 if not len(free):
                     break
-                near = _far(x[points[free]], x[points[centres[i : i + 4096]]]) <= r
-                hit = near.any(axis=1)
-                owner[free[hit]] = i + near[hit].argmax(axis=1)
+                row, col = np.nonzero(coarse[points[free]] @ coarse[points[centres[i : i + 4096]]].T >= least)
+                first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else row
+                owner[free[row[first]]] = i + col[first]
         free = block[owner[block] < 0]
         if len(free):
-            near = _far(x[points[free]], x[points[free]]) <= r
+            near = coarse[points[free]] @ coarse[points[free]].T >= least
             left = np.ones(len(free), bool)
             for i in range(len(free)):
                 if left[i]:
@@ -169,15 +174,26 @@ def dual(a: Tree, b: Tree, wa: np.ndarray, wb: np.ndarray, cosine: float, same:
     """All links between the points of two trees, or (same) within one: then each pair once, in either order."""
     reach = float(np.sqrt(2 - 2 * cosine))
     found = Found(a, b, wa, wb)
-    rb = b.radius[b.roots]
-    for i in range(0, len(a.roots), 1024):  # the pairs of top nodes, in blocks
-        top = a.roots[i : i + 1024]
-        d = _far(a.x[a.centre[top]], b.x[b.centre[b.roots]])
-        x, y = np.nonzero(d <= a.radius[top][:, None] + rb[None] + reach + SLACK)
-        if same:
-            keep = x + i <= y
-            x, y = x[keep], y[keep]
-        _follow(found, top[x], b.roots[y], cosine, reach, same)
+    # in single precision first, by a bound on the cosine that no pair within reach misses; points and wider nodes apart
+    for wide_a in (False, True):
+        top_a = a.roots[(a.radius[a.roots] > 0) == wide_a]
+        for wide_b in (False, True):
+            top_b = b.roots[(b.radius[b.roots] > 0) == wide_b]
+            if same and wide_a and not wide_b:
+                continue  # met the other way round
+            theirs, rb = b.coarse[b.centre[top_b]], b.radius[top_b].astype(np.float32)
+            for i in range(0, len(top_a), 1024):
+                top = top_a[i : i + 1024]
+                dot = a.coarse[a.centre[top]] @ theirs.T
+                if wide_a or wide_b:
+                    span = np.minimum(np.float32(2), a.radius[top].astype(np.float32)[:, None] + rb[None] + np.float32(reach))
+                    x, y = np.nonzero(dot >= 1 - span * span / 2 - COARSE)
+                else:
+                    x, y = np.nonzero(dot >= np.float32(cosine - COARSE))
+                p, q = top[x], top_b[y]
+                if same and wide_a == wide_b:
+                    p, q = p[p <= q], q[p <= q]
+                _follow(found, p, q, cosine, reach, same)
     return found
 
 
