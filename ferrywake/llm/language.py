@@ -23,6 +23,8 @@ equal results; of equal means the first label in order wins.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -238,7 +240,7 @@ def _label(sent, names: list[str]):
 
     def work(batches):
         model: Model | None = sent.value
-        known: dict[str, int] = {}
+        known: dict[str, int] = defaultdict(count().__next__)
         scores = np.zeros((0, 0))
         for b in batches:
             texts = b.column(1).to_pylist()
@@ -250,9 +252,9 @@ def _label(sent, names: list[str]):
                 if not size:
                     return
                 if len(known) > KNOWN:
-                    known, scores = {}, np.zeros((0, 0))
+                    known, scores = defaultdict(count().__next__), np.zeros((0, 0))
                 before = len(known)
-                ids = np.array([known.setdefault(w, len(known)) for _, ws in held for w in ws])
+                ids = np.fromiter(map(known.__getitem__, chain.from_iterable(ws for _, ws in held)), np.int64, size)
                 if len(known) > before:
                     fresh = model.word_scores(list(known)[before:] if before else list(known))
                     scores = np.concatenate([scores, fresh]) if before else fresh
@@ -285,6 +287,8 @@ def train(docs: DataFrame) -> Model | None:
 
 def label(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs (any columns, with text) with label and score appended by the given names; other columns go through untouched."""
+    if set(names) & set(docs.columns):
+        raise ValueError(f"columns of the names {names} are there already")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     df = docs.select(F.lit(0).alias("__a"), F.col("text").alias("__b"), *docs.columns)
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])

@@ -27,6 +27,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -100,27 +102,27 @@ class Vocabulary:
 
 
 class Lattices:
-    """Lattices of known units. Nodes are numbered so that all edges stand by their node; an edge's key is its node plus
-    the cumulated probability, so one search of node plus a uniform number picks an edge."""
+    """Lattices of known units. All edges of a node stand together, the most probable first, with the probability
+    cumulated up to each: a walk takes the first edge that exceeds a uniform number, mostly the first of all."""
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = defaultdict(count().__next__)
         self.root = np.zeros(0, np.int64)
         self.edge_at = np.zeros(1, np.int64)
-        self.key, self.logp = np.zeros(0), np.zeros(0)
+        self.cum, self.logp = np.zeros(0), np.zeros(0)
         self.next, self.node, self.id = (np.zeros(0, np.int32) for _ in range(3))
 
-    def of(self, units: list[str]) -> np.ndarray:
-        """Root node of each unit."""
-        if len(self.key) > EDGES:
+    def of(self, units, n: int) -> np.ndarray:
+        """Root node of each of n units."""
+        if len(self.cum) > EDGES:
             self.clear()
         known = self.known
         before = len(known)
-        ids = np.fromiter((known.setdefault(u, len(known)) for u in units), np.int64, len(units))
+        ids = np.fromiter(map(known.__getitem__, units), np.int64, n)
         if len(known) > before:
             fresh = list(known)[before:] if before else list(known)
             for i in range(0, len(fresh), 100_000):
@@ -185,16 +187,15 @@ class Lattices:
             z = top + np.log(np.add.reduceat(np.exp(val - np.repeat(top, n)), runs))
             beta[a:b] = z
             total[x:y] = val - np.repeat(z, n)
-        p = np.exp(total)
-        cum = np.cumsum(p)
-        before = np.append(0, cum)[first[:-1]]
-        cum -= np.repeat(before, np.diff(first))
-        cum = np.minimum(cum, 1.0 - 2.0**-40)
-        cum[first[1:] - 1] = 1.0
-        nodes, edges = len(self.edge_at) - 1, len(self.key)
+        by = np.lexsort((-total, node))
+        total, to, e_id = total[by], to[by], e_id[by]
+        cum = np.cumsum(np.exp(total))
+        cum -= np.repeat(np.append(0, cum)[first[:-1]], np.diff(first))
+        cum[first[1:] - 1] = 2.0
+        nodes, edges = len(self.edge_at) - 1, len(self.cum)
         self.root = np.append(self.root, rank[end_of - size] + nodes)
         self.edge_at = np.append(self.edge_at, first[1:] + edges)
-        self.key = np.append(self.key, node + nodes + cum)
+        self.cum = np.append(self.cum, cum)
         self.logp = np.append(self.logp, np.minimum(total, 0.0))
         self.next = np.append(self.next, np.where(to >= 0, to + nodes, -1).astype(np.int32))
         self.node = np.append(self.node, (node + nodes).astype(np.int32))
@@ -208,7 +209,11 @@ class Lattices:
         while len(who):
             step += 1
             u = _uniform(_mix(key[who] + np.uint64(step * 0xD1B54A32D192ED03 % (1 << 64))))
-            e = np.searchsorted(self.key, node + u, "right")
+            e = self.edge_at[node]
+            on = np.flatnonzero(self.cum[e] <= u)
+            while len(on):
+                e[on] += 1
+                on = on[self.cum[e[on]] <= u[on]]
             parts_w.append(who)
             parts_e.append(e)
             count[who] += 1
@@ -241,7 +246,7 @@ class _Text:
     def __init__(self, key: int, roots: np.ndarray):
         self.key, self.roots, self.drawn = key, roots, 0
         self.paths: list[tuple] = []  # edges, place of the unit of each edge, cumulated log probability, perturbed value
-        self.regions: list[tuple] = []  # maximum, path, first free step, branches taken
+        self.regions: list[tuple] = []  # maximum, path, first free step, branches taken, masses of the steps
         self.threshold = -math.inf
 
     def uniform(self) -> float:
@@ -249,7 +254,7 @@ class _Text:
         return float(_uniform(_mix(np.array([self.key + self.drawn * 0xA0761D6478BD642F & (1 << 64) - 1], np.uint64)))[0])
 
 
-def _masses(lat: Lattices, t: _Text, path: int, start: int, taken: tuple) -> tuple[np.ndarray, int]:
+def _masses(lat: Lattices, t: _Text, path: int, start: int, taken: tuple) -> np.ndarray:
     """Probability of leaving the path at each step from `start` on, but by branches taken, as far as it can count."""
     edges, _, cum, _ = t.paths[path]
     stop = start + int(np.searchsorted(-cum[start:], -cum[start] + 50.0)) + 1 if start < len(edges) else start
@@ -263,15 +268,15 @@ def _masses(lat: Lattices, t: _Text, path: int, start: int, taken: tuple) -> tup
             others = lat.edge_at[lat.node[c] + 1] - lat.edge_at[lat.node[c]] - 1 - sum(1 for s2, _ in taken if s2 == s)
             if others <= 0:
                 rest[s - start] = 0.0
-    return np.exp(cum[start : start + len(e)]) * rest, start
+    return np.exp(cum[start : start + len(e)]) * rest
 
 
 def _region(lat: Lattices, t: _Text, path: int, start: int, taken: tuple, bound: float) -> None:
-    m, _ = _masses(lat, t, path, start, taken)
+    m = _masses(lat, t, path, start, taken)
     mass = float(m.sum())
     if mass > 0:
         value = -math.log(math.exp(-bound) + -math.log(t.uniform()) / mass)
-        t.regions.append((min(value, bound), path, start, taken))
+        t.regions.append((min(value, bound), path, start, taken, m))
 
 
 def _branch(lat: Lattices, t: _Text) -> tuple | None:
@@ -279,8 +284,7 @@ def _branch(lat: Lattices, t: _Text) -> tuple | None:
     if not t.regions:
         return None
     top = max(range(len(t.regions)), key=lambda i: t.regions[i][0])
-    value, path, start, taken = t.regions.pop(top)
-    m, _ = _masses(lat, t, path, start, taken)
+    value, path, start, taken, m = t.regions.pop(top)
     step = start + min(int(np.searchsorted(np.cumsum(m), t.uniform() * m.sum(), "right")), int(np.flatnonzero(m)[-1]))
     edge = int(t.paths[path][0][step])
     node = lat.node[edge]
@@ -295,7 +299,7 @@ def sample(lat: Lattices, keys: np.ndarray, texts: list[list[str]], k: int) -> l
     """For each text, given by its units: up to k of (edges, log probability, perturbed value, inclusion)."""
     n = np.fromiter(map(len, texts), np.int64, len(texts))
     at = np.append(0, np.cumsum(n))
-    roots = lat.of([u for us in texts for u in us])
+    roots = lat.of(chain.from_iterable(texts), int(at[-1]))
     place = np.arange(at[-1]) - np.repeat(at[:-1], n)
     all_ = [_Text(int(key), roots[a:b]) for key, a, b in zip(keys.tolist(), at[:-1], at[1:])]
     live = [i for i in range(len(texts)) if n[i]]
