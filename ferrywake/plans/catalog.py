@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import redacted
+from ..functions.text import host_of, query_shape
+from ..functions.values import count_of, exact_long
 from ..operators import diagnostics as D
+from ..operators import logs
 from ..operators import series as S
 from ..operators import summary as A
+from ..sources import capture
 from .canonical import duck, frame
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -235,3 +239,69 @@ add(
     _down(", m0 AS (SELECT path, ts_ms, FIRST(value ORDER BY file_id, block_start, block_ordinal, point_idx) AS value FROM samples WHERE STARTS_WITH(path, 'serverStatus/opcounters/') GROUP BY 1, 2), m AS (SELECT path, ts_ms, value - LAG(value) OVER (PARTITION BY path ORDER BY ts_ms) AS value FROM m0)", 300),
 )
 add("o99_paths", "samples", lambda s: s.select("path").distinct(), "SELECT DISTINCT path FROM samples")
+
+
+# sources and parsers: rows are written in each format and read back
+def _iso(ms: str, form: str) -> str:
+    return f"date_format(timestamp_millis({ms}), '{form}')"
+
+
+_JSON = f"""CONCAT('{{"t":{{"$date":"', {_iso("ts_ms", "yyyy-MM-dd''T''HH:mm:ss.SSS")}, '+00:00"}},"s":"', COALESCE(severity, '-'), '","c":"', COALESCE(component, '-'), '","id":', COALESCE(message_id, 7), ',"ctx":"conn', user_id,
+  '","msg":"Slow query","attr":{{"type":"', operation, '","ns":"', COALESCE(namespace, '-'), '","command":{{"', operation, '":"c","filter":{{"p', user_id % 9, '":{{"$gt":5}},"a":["x\\\\"y{{",null]}},"q":{{"p', user_id % 9, '":{{"$gt":{{"$numberLong":"5"}}}},"a":[1,2.5]}}}}',
+  ',"originatingCommand":{{"filter":{{"a":[true,{{"$oid":"1"}}],"p', user_id % 9, '":{{"$gt":"s"}}}}}}', COALESCE(CONCAT(',"durationMillis":', duration_ms), ''), COALESCE(CONCAT(',"cpuNanos":"', cpu_nanos, '"'), ''), COALESCE(CONCAT(',"reslen":', response_len, '.0'), ''),
+  COALESCE(CONCAT(',"planSummary":"', plan_summary, '"'), ''), COALESCE(CONCAT(',"remote":"', remote, ':', user_id + 1, '"'), ''), '}}}}') AS raw_line"""
+_PARSED = ["file_index", "line_number", "status", "error_code", "ts_ms", "severity", "component", "message_id", "context", "namespace", "operation", "duration_ms", "cpu_nanos", "response_len", "plan_summary", "remote", "query_pattern"]
+add(
+    "o20_parse_structured", "entries", lambda e: logs.entries(e.selectExpr("file_index", "line_number", _JSON)).select(*_PARSED),
+    """SELECT file_index, line_number, CASE WHEN duration_ms IS NULL THEN 'PARTIAL' ELSE 'SUCCESS' END AS status, CASE WHEN duration_ms IS NULL THEN 'MISSING_SLOW_QUERY_DURATION' END AS error_code, ts_ms, COALESCE(severity, '-') AS severity,
+    COALESCE(component, '-') AS component, COALESCE(message_id, 7) AS message_id, CONCAT('conn', user_id) AS context, COALESCE(namespace, '-') AS namespace, operation, duration_ms, cpu_nanos, response_len, plan_summary, remote,
+    CONCAT('{"a":["?","?"],"p', user_id % 9, '":{"$gt":"?"}}') AS query_pattern FROM entries""",
+)
+_SHELL = f"""CONCAT({_iso("ts_ms", "yyyy-MM-dd''T''HH:mm:ss.SSS")}, '+0000 I COMMAND  [conn', user_id, '] command db.c', user_id % 7, ' command: find {{ find: "c", filter: {{ p', user_id % 9, ': ObjectId("a)b"), a: [ 1, new Date(5), "{{k: 1}}" ] }}, $db: "db" }} planSummary: IDHACK reslen:', COALESCE(response_len, 0), COALESCE(CONCAT(' ', duration_ms, 'ms'), '')) AS raw_line"""
+add(
+    "o28_parse_single_line", "entries", lambda e: logs.entries(e.selectExpr("file_index", "line_number", _SHELL)).select(*[c for c in _PARSED if c not in ("message_id", "cpu_nanos", "remote")]),
+    """SELECT file_index, line_number, CASE WHEN duration_ms IS NULL THEN 'PARTIAL' ELSE 'SUCCESS' END AS status, CASE WHEN duration_ms IS NULL THEN 'MISSING_SLOW_QUERY_DURATION' END AS error_code, ts_ms, 'I' AS severity, 'COMMAND' AS component,
+    CONCAT('conn', user_id) AS context, CONCAT('db.c', user_id % 7) AS namespace, 'find' AS operation, duration_ms, COALESCE(response_len, 0) AS response_len, 'IDHACK' AS plan_summary, CONCAT('{"a":["?","?","?"],"p', user_id % 9, '":"?"}') AS query_pattern FROM entries""",
+)
+_CASES = "CASE event_id % 9 WHEN 0 THEN '' WHEN 1 THEN '   ' WHEN 2 THEN 'no log' WHEN 3 THEN '{bad' WHEN 4 THEN '{\"a\":1}' WHEN 5 THEN '2025-03-10T14:14:17.729+0800 broken' WHEN 6 THEN '2025-93-10T14:14:17.729+0800 I X [a] b' WHEN 7 THEN '{\"t\":{\"$date\":\"2024-06-01T10:15:30Z\"},\"x\":9223372036854775808}' ELSE '{\"t\":{\"$date\":\"2024-06-01T10:15:30Z\"},\"msg\":\"Slow query\",\"attr\":{\"durationMillis\":1.5}}' END"
+Q["o34_parse_outcomes"] = lambda spark, sf_dir: logs.entries(spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("0 AS file_index", "event_id AS line_number", f"{_CASES} AS raw_line")).groupBy("status", "error_code").agg(F.count("*").alias("n"))
+SQL["o34_parse_outcomes"] = """SELECT CASE WHEN event_id % 9 < 3 THEN 'SKIPPED' WHEN event_id % 9 = 8 THEN 'PARTIAL' ELSE 'FAILED' END AS status, CASE event_id % 9 WHEN 0 THEN 'EMPTY_LINE' WHEN 1 THEN 'EMPTY_LINE' WHEN 2 THEN 'NOT_MONGODB_LOG' WHEN 3 THEN 'INVALID_STRUCTURED_JSON'
+  WHEN 4 THEN 'MISSING_TIMESTAMP' WHEN 5 THEN 'INVALID_LEGACY_HEADER' WHEN 6 THEN 'INVALID_TIMESTAMP' WHEN 7 THEN 'INVALID_STRUCTURED_JSON' ELSE 'INVALID_SLOW_QUERY_DURATION' END AS error_code, COUNT(*) AS n FROM events GROUP BY 1, 2"""
+_HOST = "CASE event_id % 5 WHEN 0 THEN CONCAT('[::', user_id, ']:', event_id) WHEN 1 THEN CONCAT('h', user_id, ':', event_id) WHEN 2 THEN CONCAT('fe80::', user_id) WHEN 3 THEN ' ' ELSE CONCAT('h', user_id, ':x') END"
+Q["o24_remote_hosts"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", f"{_HOST} AS a").select("event_id", host_of(F.col("a")).alias("host"))
+SQL["o24_remote_hosts"] = "SELECT event_id, CASE event_id % 5 WHEN 0 THEN CONCAT('::', user_id) WHEN 1 THEN CONCAT('h', user_id) WHEN 2 THEN CONCAT('fe80::', user_id) WHEN 3 THEN NULL ELSE CONCAT('h', user_id, ':x') END AS host FROM events"
+_NUMBER = "CASE event_id % 8 WHEN 0 THEN CONCAT(event_id, '.0') WHEN 1 THEN CONCAT(event_id, '.5') WHEN 2 THEN CONCAT('\"', event_id, '\"') WHEN 3 THEN CONCAT('\"', event_id, '.0\"') WHEN 4 THEN CONCAT('-', event_id + 1) WHEN 5 THEN CONCAT('{\"$numberLong\":\"', event_id, '\"}') WHEN 6 THEN '{\"$numberDouble\":\"NaN\"}' ELSE 'true' END"
+Q["o22_whole_numbers"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", f"parse_json({_NUMBER}) AS v").select("event_id", exact_long(F.col("v")).alias("exact"), count_of(F.col("v")).alias("count_value"))
+SQL["o22_whole_numbers"] = "SELECT event_id, CASE WHEN event_id % 8 IN (0, 2, 5) THEN event_id END AS exact, CASE WHEN event_id % 8 IN (0, 1, 5) THEN event_id WHEN event_id % 8 = 6 THEN 0 END AS count_value FROM events"
+_SHAPE = "CASE event_id % 4 WHEN 0 THEN CONCAT('{\"z\":', event_id, ',\"b', user_id, '\":[null,{\"$oid\":\"x\"}]}') WHEN 1 THEN NULL WHEN 2 THEN '[{\"$match\":{\"s\":\"q\"}}]' ELSE '{\"n\":{\"m\":{\"$date\":{\"$numberLong\":\"5\"}}}}' END"
+Q["o27_query_shapes"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", f"{_SHAPE} AS d").select("event_id", query_shape(F.col("d")).alias("shape"))
+SQL["o27_query_shapes"] = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN CONCAT('{"b', user_id, '":["?","?"],"z":"?"}') WHEN 1 THEN '{}' WHEN 2 THEN '[{"$match":{"s":"?"}}]' ELSE '{"n":{"m":"?"}}' END AS shape FROM events"""
+
+
+def _captured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of three captures, written as capture files (in memory) and decoded again."""
+    import pandas as pd
+
+    points = S.merged(frame(spark, sf_dir, "samples").where("path LIKE 'serverStatus/opcounters/%' AND file_id = 0"))
+
+    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index="ts_ms", columns="path", values="value").sort_index().fillna(-1).astype("int64")
+        names = ["start", *wide.columns]
+        values = wide.reset_index()[["ts_ms", *wide.columns]].to_numpy().T
+        return pd.DataFrame({"file_id": [0], "content": [capture.encode_block(names, values)]})
+
+    day = points.withColumn("day", F.floor(F.col("ts_ms") / 86_400_000))
+    return capture.samples_of(day.groupBy("day").applyInPandas(encode, "file_id int, content binary")).where("path <> 'start' AND value >= 0").select("path", "ts_ms", "value")
+
+
+Q["o04_capture_round_trip"] = _captured
+SQL["o04_capture_round_trip"] = duck("samples") + "SELECT path, ts_ms, FIRST(value ORDER BY file_id, block_start, block_ordinal, point_idx) AS value FROM samples WHERE path LIKE 'serverStatus/opcounters/%' AND file_id = 0 GROUP BY 1, 2"
+_paths = ", l AS (SELECT file_id, block_ordinal, LIST(DISTINCT path ORDER BY path) AS ps FROM samples GROUP BY 1, 2), f AS (SELECT ps, MIN(ROW(file_id, block_ordinal)) AS seen FROM l GROUP BY 1), i AS (SELECT ps, ROW_NUMBER() OVER (ORDER BY seen) - 1 AS id FROM f), u AS (SELECT id, UNNEST(ps) AS path FROM i)"
+
+
+def _schemas(s: DataFrame) -> DataFrame:
+    return S.schemas_of(s.groupBy("file_id", "block_ordinal").agg(F.sort_array(F.collect_set("path")).alias("paths")))
+
+
+add("o50_path_schemas", "samples", lambda s: S.path_schemas(_schemas(s)).select("path", "metric_id", F.array_join(F.col("schema_ids").cast("array<string>"), ",").alias("schema_ids")), f"{_paths} SELECT path, SUBSTR(SHA256(path), 1, 16) AS metric_id, STRING_AGG(CAST(id AS VARCHAR), ',' ORDER BY id) AS schema_ids FROM u GROUP BY 1")
+add("o48_blocks_of_metrics", "samples", lambda s: s.select("file_id", "block_ordinal", "path").distinct().join(F.broadcast(s.sparkSession.createDataFrame([("flat",), ("serverStatus/metrics/zero",)], "path string")), "path"), "SELECT DISTINCT file_id, block_ordinal, path FROM samples WHERE path IN ('flat', 'serverStatus/metrics/zero')")

@@ -4,7 +4,7 @@ file := document*; document {type, data}; type 1 holds data := int32 length, zli
 payload := a baseline document, int32 attributes, int32 deltas, then for each attribute its deltas as
 unsigned varints, a zero followed by how many more zeros, runs going on across attributes.
 
-read_blocks() and read_samples() decode files in parallel, a file a task as one must be read from its start;
+blocks_of() and samples_of() decode files in parallel, a file a task as one must be read from its start;
 samples can be limited to paths, which are then the only columns that become rows.
 """
 
@@ -221,6 +221,39 @@ def scan(data: bytes):
         raise CaptureError("no metric block")
 
 
+def _varint(n: int) -> bytes:
+    out = bytearray()
+    while n > 0x7F:
+        out.append(n & 0x7F | 0x80)
+        n >>= 7
+    out.append(n)
+    return bytes(out)
+
+
+def _document(fields: list[tuple[int, str, bytes]]) -> bytes:
+    body = b"".join(bytes([kind]) + name.encode() + b"\0" + value for kind, name, value in fields)
+    return struct.pack("<i", len(body) + 5) + body + b"\0"
+
+
+def encode_block(paths: list[str], values: np.ndarray) -> bytes:
+    """A metric document of plain paths (`start` among them) and their values, attributes by points."""
+    base = _document([(9 if p == "start" else 18, p, struct.pack("<q", int(v))) for p, v in zip(paths, values[:, 0])])
+    deltas = np.diff(values.astype(np.int64).view(np.uint64), axis=1).ravel()
+    out, i = bytearray(), 0
+    while i < len(deltas):
+        if deltas[i]:
+            out += _varint(int(deltas[i]))
+            i += 1
+            continue
+        rest = np.flatnonzero(deltas[i:])
+        run = int(rest[0]) if len(rest) else len(deltas) - i
+        out += b"\0" + _varint(run - 1)
+        i += run
+    payload = base + struct.pack("<ii", len(paths), values.shape[1] - 1) + bytes(out)
+    data = struct.pack("<I", len(payload)) + zlib.compress(payload)
+    return _document([(16, "type", struct.pack("<i", 1)), (5, "data", struct.pack("<i", len(data)) + b"\0" + data)])
+
+
 def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
     if not paths:
         raise ValueError("no file given")
@@ -243,8 +276,8 @@ BLOCKS = "file_id int, block_ordinal int, file_offset long, doc_length int, decl
 SAMPLES = "path string, file_id int, block_start long, block_ordinal int, point_idx int, ts_ms long, value long"
 
 
-def read_blocks(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """One row for each metric block, checked whole."""
+def blocks_of(files: DataFrame) -> DataFrame:
+    """One row for each metric block of files (file_id, content), checked whole."""
 
     def work(batches):
         for b in batches:
@@ -255,11 +288,11 @@ def read_blocks(spark: SparkSession, paths: list[str]) -> DataFrame:
                     kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [c.split()[0] for c in BLOCKS.split(", ")])
 
-    return _files(spark, paths).mapInArrow(work, BLOCKS)
+    return files.mapInArrow(work, BLOCKS)
 
 
-def read_samples(spark: SparkSession, paths: list[str], metrics: list[str] | None = None) -> DataFrame:
-    """The long frame of samples, of all metrics or of those named."""
+def samples_of(files: DataFrame, metrics: list[str] | None = None) -> DataFrame:
+    """The long frame of the samples of files (file_id, content), of all metrics or of those named."""
     wanted = None if metrics is None else frozenset(metrics)
 
     def work(batches):
@@ -274,7 +307,15 @@ def read_samples(spark: SparkSession, paths: list[str], metrics: list[str] | Non
                         cols = [np.full(n, file_id, np.int32), np.full(n, ts[0]), np.full(n, ordinal, np.int32), np.arange(n, dtype=np.int32), ts, values[i]]
                         yield pa.RecordBatch.from_arrays([pa.array([name] * n), *(pa.array(c) for c in cols)], [c.split()[0] for c in SAMPLES.split(", ")])
 
-    return _files(spark, paths).mapInArrow(work, SAMPLES)
+    return files.mapInArrow(work, SAMPLES)
+
+
+def read_blocks(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return blocks_of(_files(spark, paths))
+
+
+def read_samples(spark: SparkSession, paths: list[str], metrics: list[str] | None = None) -> DataFrame:
+    return samples_of(_files(spark, paths), metrics)
 
 
 def manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
