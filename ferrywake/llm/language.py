@@ -148,9 +148,34 @@ class Model:
         return marginals(scores, first, self.step, self.begin)
 
 
+def unambiguous(spans: list[tuple[str, list[str]]], run: int = 4) -> list[tuple[str, list[str]]]:
+    """The spans without runs of words that are found under different labels: passages that documents of several languages
+    share say nothing about a language."""
+    label_of: dict[tuple, str] = {}
+    mixed: set[tuple] = set()
+    for lab, ws in spans:
+        for i in range(len(ws) - run + 1):
+            g = tuple(ws[i : i + run])
+            if label_of.setdefault(g, lab) != lab:
+                mixed.add(g)
+    out = []
+    for lab, ws in spans:
+        gone = [False] * len(ws)
+        for i in range(len(ws) - run + 1):
+            if tuple(ws[i : i + run]) in mixed:
+                gone[i : i + run] = [True] * run
+        at = 0
+        for i in range(len(ws) + 1):
+            if i == len(ws) or gone[i]:
+                if i > at:
+                    out.append((lab, ws[at:i]))
+                at = i + 1
+    return out
+
+
 def fit(spans: list[tuple[str, list[str]]], epochs: int = 6, rate: float = 0.2, batch: int = 128, seed: int = 7) -> Model | None:
     """Learns from (label, words) spans by stochastic gradients of the chain likelihood."""
-    spans = [(lab, ws) for lab, ws in spans if ws]
+    spans = unambiguous(spans) or [(lab, ws) for lab, ws in spans if ws]
     if not spans:
         return None
     labels = sorted({lab for lab, _ in spans})
