@@ -28,10 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def _stashes(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/ferrywake/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what stash() has written in this application; results that still read it are void."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stashes(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ferrywake/{uuid.uuid4().hex}"
+    path = f"{_stashes(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -60,7 +70,3 @@ def runs(*keys: np.ndarray) -> np.ndarray:
     for k in keys:
         new[1:] |= k[1:] != k[:-1]
     return np.append(np.flatnonzero(new), n)
-
-
-def module_root() -> str:
-    return os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

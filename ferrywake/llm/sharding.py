@@ -15,6 +15,8 @@ no rows. With more shards than rows some shards stay empty.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,6 +27,8 @@ from .common import only, stash, table
 
 #: Sampled keys of an open cell in each round; at most this many times the cells come to the driver.
 SAMPLES = 16
+#: Rows that a task counts at once.
+HELD = 1_000_000
 LEAST = -(1 << 63)
 
 
@@ -44,10 +48,15 @@ def _counted(keys: DataFrame, probes: list[tuple[int, int]]) -> list:
     ph, pd = (np.array([p[i] for p in probes], np.int64) for i in (0, 1))
 
     def work(batches):
-        for b in batches:
-            if not b.num_rows:
+        held, rows = [], 0
+        for b in chain(batches, [None]):
+            if b is not None:
+                held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+                rows += b.num_rows
+            if not rows or b is not None and rows < HELD:  # many rows at a time, for few rows out
                 continue
-            h, d, size = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            h, d, size = (np.concatenate([x[i] for x in held]) for i in range(3))
+            held, rows = [], 0
             mix = (h.view(np.uint64) ^ (d.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
             mix ^= mix >> np.uint64(31)
             cell, part = _cells(h, d, ph, pd), (mix % np.uint64(SAMPLES)).astype(np.int64)
