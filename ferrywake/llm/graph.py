@@ -1,8 +1,9 @@
 """Connected components of links between long ids, without gathering them anywhere.
 
 Large-star and small-star rounds (Kiveris et al., 2014) over a table of links, after each task has
-contracted its own links. Every round is a grouped minimum (combined before the shuffle) and a join
-that adaptive execution can split; the loop ends when a round changes nothing.
+contracted its own links. Links point from the larger id to the smaller. Every round is a grouped minimum,
+combined before the shuffle and stored, and a join of stored tables, which adaptive execution can split
+where many links share a node; the loop ends when a round changes nothing.
 """
 
 from __future__ import annotations
@@ -69,12 +70,11 @@ def components(links: DataFrame) -> DataFrame:
         if state == last or not state[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         last = state
-        # large-star: the larger neighbours of each node go to the smallest of it and its neighbours
-        both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # large-star: each node goes to the smallest neighbour that its own smaller neighbour has
+        least = stash(edges.groupBy("a").agg(F.min("b").alias("m")))
+        moved = edges.join(least.withColumnRenamed("a", "b").hint("merge"), "b", "left")
+        edges = stash(moved.select("a", F.coalesce("m", "b").alias("b")).distinct())
         # small-star: each node and its smaller neighbours go to the smallest of these
-        large = stash(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        edges = stash(moved.union(least.select("u", "m")).distinct())
+        least = stash(edges.groupBy("a").agg(F.min("b").alias("m")))
+        moved = edges.join(least.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = stash(moved.union(least.select("a", F.col("m").alias("b"))).distinct())
