@@ -43,9 +43,11 @@ SEED = 20260101
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 #: Edges of known units held in one task, at most, and characters of text segmented at once.
-EDGES = 3_000_000
-AT_ONCE = 1_500_000
+EDGES = 2_500_000
+AT_ONCE = 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
+NONE = -(1 << 31)
+FULL = (1 << 64) - 1
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -80,7 +82,8 @@ class Vocabulary:
                 self.bytes_[int(p[3:5], 16)] = i
                 self.raw.append(bytes([int(p[3:5], 16)]))
             else:
-                self.raw.append(p.replace(MARK, " ").encode() if i in set(plain[:0]) or not sp.is_control(i) else b"")
+                self.raw.append(b"" if sp.is_control(i) else p.replace(MARK, " ").encode())
+        self.weight = weight
         self.floor = float(weight[plain].min()) - 10.0
         pieces = [(sp.id_to_piece(i), i) for i in plain]
         if any(re.search(f"[^{MARK}]{MARK}", p) for p, _ in pieces):
@@ -93,12 +96,11 @@ class Vocabulary:
             some = [j for j in range(len(pieces)) if len(codes[j]) > k]
             h[some] = h[some] * BASE + np.array([codes[j][k] for j in some], np.uint64) + np.uint64(1)
             key, first = np.unique(h[some], return_index=True)
-            id_, w = np.full(len(key), -1, np.int32), np.zeros(len(key))
+            id_ = np.full(len(key), -1, np.int32)
             for j in some:
                 if len(codes[j]) == k + 1:
-                    at = np.searchsorted(key, h[j])
-                    id_[at], w[at] = pieces[j][1], weight[pieces[j][1]]
-            self.levels.append((key, id_, w))
+                    id_[np.searchsorted(key, h[j])] = pieces[j][1]
+            self.levels.append((key, id_))
 
 
 class Lattices:
@@ -113,7 +115,7 @@ class Lattices:
         self.known: dict[str, int] = defaultdict(count().__next__)
         self.root = np.zeros(0, np.int64)
         self.edge_at = np.zeros(1, np.int64)
-        self.cum, self.logp = np.zeros(0), np.zeros(0)
+        self.cum, self.logp, self.rest = np.zeros(0), np.zeros(0), np.zeros(0)
         self.next, self.node, self.id = (np.zeros(0, np.int32) for _ in range(3))
 
     def of(self, units, n: int) -> np.ndarray:
@@ -125,8 +127,8 @@ class Lattices:
         ids = np.fromiter(map(known.__getitem__, units), np.int64, n)
         if len(known) > before:
             fresh = list(known)[before:] if before else list(known)
-            for i in range(0, len(fresh), 100_000):
-                self._add(fresh[i : i + 100_000])
+            for i in range(0, len(fresh), 50_000):
+                self._add(fresh[i : i + 50_000])
         return self.root[ids]
 
     def _add(self, units: list[str]) -> None:
@@ -134,11 +136,16 @@ class Lattices:
         code = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.uint64)
         size = np.fromiter(map(len, units), np.int64, len(units))
         end_of = np.cumsum(size)
-        left = np.repeat(end_of, size) - np.arange(len(code))  # places to the end of the unit
-        at, h = np.arange(len(code)), np.zeros(len(code), np.uint64)
-        e_at, e_len, e_id, e_w = [], [], [], []
-        single = np.zeros(len(code), bool)
-        for k, (key, id_, w) in enumerate(v.levels):
+        n = len(code)
+        left = (np.repeat(end_of, size) - np.arange(n)).astype(np.int32)  # places to the end of the unit
+        # nodes by their distance to the end: what an edge leads to has been numbered and weighed before
+        order = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left, kind="stable")
+        rank = np.empty(n, np.int32)
+        rank[order] = np.arange(n, dtype=np.int32)
+        # the piece of each node and length, in rows of nodes, so that edges come out by node
+        table = np.full((n, v.longest), NONE, np.int32)
+        at, h = np.arange(n, dtype=np.int32), np.zeros(n, np.uint64)
+        for k, (key, id_) in enumerate(v.levels):
             if k:
                 ok = left[at] > k
                 at, h = at[ok], h[ok]
@@ -147,33 +154,23 @@ class Lattices:
             h = h * BASE + code[at + k] + np.uint64(1)
             i = np.minimum(np.searchsorted(key, h), len(key) - 1)
             ok = key[i] == h
-            at, h, i = at[ok], h[ok], i[ok]
-            piece = id_[i] >= 0
-            if k == 0:
-                single[at[piece]] = True
-            e_at.append(at[piece])
-            e_len.append(np.full(piece.sum(), k + 1))
-            e_id.append(id_[i[piece]])
-            e_w.append(w[i[piece]])
-        odd = np.flatnonzero(~single)  # no piece has the character: its bytes
+            at, h, i = at[ok], h[ok], id_[i[ok]]
+            piece = i >= 0
+            table[rank[at[piece]], k] = i[piece]
+        odd = np.flatnonzero(table[rank, 0] == NONE)  # no piece has the character: its bytes
         c = code[odd].astype(np.int64)
-        n_bytes = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
-        e_at.append(odd)
-        e_len.append(np.ones(len(odd), np.int64))
-        e_id.append(np.where(c < 128, v.bytes_[np.minimum(c, 127)], -c - 1).astype(np.int32))
-        e_w.append(v.floor * n_bytes)
-        e_at, e_len, e_id, e_w = (np.concatenate(x) for x in (e_at, e_len, e_id, e_w))
-        # nodes by their distance to the end: what an edge leads to has been numbered and weighed before
-        order = np.argsort(left, kind="stable")
-        rank = np.empty(len(code), np.int64)
-        rank[order] = np.arange(len(code))
-        by = np.argsort(rank[e_at], kind="stable")
-        e_at, e_len, e_id, e_w = e_at[by], e_len[by], e_id[by], e_w[by]
-        node = rank[e_at]
-        to = e_at + e_len
-        ends = e_len == left[e_at]
-        to = np.where(ends, -1, rank[np.minimum(to, len(code) - 1)])
-        first = np.searchsorted(node, np.arange(len(code) + 1))
+        table[rank[odd], 0] = np.where(c < 128, v.bytes_[np.minimum(c, 127)], -c - 1)
+        flat = np.flatnonzero(table.ravel() != NONE)
+        e_id = table.ravel()[flat]
+        node, e_len = flat // v.longest, flat % v.longest + 1
+        del table
+        e_w = v.weight[np.maximum(e_id, 0)]
+        wide = np.flatnonzero(e_id < 0)
+        c = -e_id[wide].astype(np.int64) - 1
+        e_w[wide] = v.floor * (2 + (c > 0x7FF) + (c > 0xFFFF))
+        to = order[node] + e_len
+        to = np.where(e_len == left[order[node]], -1, rank[np.minimum(to, n - 1)])
+        first = np.append(np.flatnonzero(np.append(True, node[1:] != node[:-1])), len(node))
         beta = np.zeros(len(code) + 1)  # the last one, of -1, is that of the end
         total = e_w.copy()
         steps = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2))
@@ -182,13 +179,17 @@ class Lattices:
                 continue
             x, y = first[a], first[b]
             val = e_w[x:y] + beta[to[x:y]]
-            runs, n = first[a:b] - x, np.diff(first[a : b + 1])
+            runs, each = first[a:b] - x, np.diff(first[a : b + 1])
             top = np.maximum.reduceat(val, runs)
-            z = top + np.log(np.add.reduceat(np.exp(val - np.repeat(top, n)), runs))
+            z = top + np.log(np.add.reduceat(np.exp(val - np.repeat(top, each)), runs))
             beta[a:b] = z
-            total[x:y] = val - np.repeat(z, n)
-        by = np.lexsort((-total, node))
-        total, to, e_id = total[by], to[by], e_id[by]
+            total[x:y] = val - np.repeat(z, each)
+        # the most probable edge of a node changes places with its first
+        begin = first[:-1]
+        best = np.flatnonzero(total == np.repeat(np.maximum.reduceat(total, begin), np.diff(first)))
+        best = best[np.append(True, node[best][1:] != node[best][:-1])]
+        for x in (total, to, e_id):
+            x[begin], x[best] = x[best], x[begin]
         cum = np.cumsum(np.exp(total))
         cum -= np.repeat(np.append(0, cum)[first[:-1]], np.diff(first))
         cum[first[1:] - 1] = 2.0
@@ -197,6 +198,8 @@ class Lattices:
         self.edge_at = np.append(self.edge_at, first[1:] + edges)
         self.cum = np.append(self.cum, cum)
         self.logp = np.append(self.logp, np.minimum(total, 0.0))
+        alone = np.repeat(np.diff(first) == 1, np.diff(first))
+        self.rest = np.append(self.rest, np.where(alone, 0.0, np.maximum(0.0, -np.expm1(total))))
         self.next = np.append(self.next, np.where(to >= 0, to + nodes, -1).astype(np.int32))
         self.node = np.append(self.node, (node + nodes).astype(np.int32))
         self.id = np.append(self.id, e_id)
@@ -251,17 +254,20 @@ class _Text:
 
     def uniform(self) -> float:
         self.drawn += 1
-        return float(_uniform(_mix(np.array([self.key + self.drawn * 0xA0761D6478BD642F & (1 << 64) - 1], np.uint64)))[0])
+        x = self.key + self.drawn * 0xA0761D6478BD642F & FULL
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & FULL
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & FULL
+        return ((x ^ x >> 31) >> 12 | 0) * 2.0**-52 + 2.0**-53
 
 
 def _masses(lat: Lattices, t: _Text, path: int, start: int, taken: tuple) -> np.ndarray:
     """Probability of leaving the path at each step from `start` on, but by branches taken, as far as it can count."""
     edges, _, cum, _ = t.paths[path]
-    stop = start + int(np.searchsorted(-cum[start:], -cum[start] + 50.0)) + 1 if start < len(edges) else start
-    e = edges[start : min(stop, len(edges))]
-    p = np.exp(lat.logp[e])
-    alone = lat.edge_at[lat.node[e] + 1] - lat.edge_at[lat.node[e]] == 1
-    rest = np.where(alone, 0.0, np.maximum(0.0, 1 - p))
+    n, width = len(edges), 32
+    while start + width < n and cum[start + width] > cum[start] - 50.0:
+        width *= 2
+    e = edges[start : min(start + width, n)]
+    rest = lat.rest[e]
     for s, c in taken:
         if 0 <= s - start < len(rest):
             rest[s - start] = max(0.0, rest[s - start] - math.exp(lat.logp[c]))
@@ -376,7 +382,7 @@ def vocabulary(path: str = MODEL) -> Vocabulary:
 
 def decode(ids, path: str = MODEL) -> str:
     raw = vocabulary(path).raw
-    text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
+    text = b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace")
     return text[1:] if text.startswith(" ") else text
 
 
@@ -420,7 +426,7 @@ def digests(found: DataFrame, path: str = MODEL) -> DataFrame:
                 x = flat[a:e]
                 n.append(e - a)
                 crc.append(zlib.crc32(x.astype("<i4").tobytes()))
-                t = b"".join([raw[i] for i in x.tolist()])
+                t = b"".join(map(raw.__getitem__, x.tolist()))
                 text.append(zlib.crc32(t[1:] if t[:1] == b" " else t))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(text, pa.int64()), *b.columns[3:]], ["doc_id", "sample", "n_pieces", "ids_crc32", "decoded_crc32", "log_prob", "perturbed", "inclusion"])
 
