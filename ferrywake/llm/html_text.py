@@ -169,6 +169,14 @@ def _container(node: Node) -> Node:
     return found or node
 
 
+def _headings(node: Node) -> list[Node]:
+    """Headings that stand before the node in its parent, unless it has its own."""
+    if node.parent is None or node.name in ("body", "html", "article", "main"):
+        return []
+    before = node.parent.parts[: next(i for i, y in enumerate(node.parent.parts) if y is node)]
+    return [y for y in before if isinstance(y, Node) and not y.bad and y.name in ("h1", "h2")]
+
+
 SPACE = re.compile(r"\s+")
 
 
@@ -182,16 +190,16 @@ def main_text(page: str | None) -> str:
     held: list[str] = []
 
     def flush() -> None:
-        line = SPACE.sub(" ", html.unescape("".join(held))).strip()
+        line = SPACE.sub(" ", "".join(held)).strip()
         if line:
             lines.append(line)
         held.clear()
 
-    todo: list = [top]
+    todo: list = [top, *reversed(_headings(top))]
     while todo:
         x = todo.pop()
         if isinstance(x, str):
-            held.append(x)
+            held.append(html.unescape(x) if "&" in x else x)
         elif x is None:
             flush()
         elif x.bad and x is not top:
@@ -201,11 +209,10 @@ def main_text(page: str | None) -> str:
             held.append(" ")
         else:
             block = x.name in BLOCK or x is top
-            links = x is not top and block and x.chars and x.link_chars > 0.8 * x.chars and x.density < least
             if block:
                 flush()
-            if links:  # a list of links inside the article
-                continue
+            if x.name in ("ul", "ol", "dl") and x.link_tags > 2 and x.link_chars > 0.9 * x.chars and x.density < least:
+                continue  # a menu inside the article
             if block:
                 todo.append(None)
             todo.extend(reversed(x.parts))

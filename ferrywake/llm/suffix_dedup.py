@@ -90,7 +90,7 @@ def segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
 
 #: Bytes cut at once; places must fit the bits of LOW.
 AT_ONCE = 4_000_000
-BUCKET = 20_000
+BUCKET = 12_000
 CHUNK = 1_500_000
 SKETCH = 4096
 NO_ID = -(1 << 63)

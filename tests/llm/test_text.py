@@ -61,6 +61,8 @@ def test_main_text():
     <section class="comments"><p>Great post, thanks a lot for this very long and winding comment about it all</p></section></div><footer>&copy; us</footer></body></html>"""
     assert f(page) == "A&B <c>\nFirst line here.\nSecond é é.\none\ntwo"
     assert f("<div><p>One two three four five six.</p><p>Seven eight nine.</p></div><div class=sidebar><p>no</p></div>") == "One two three four five six.\nSeven eight nine."
+    assert f("<body><h1>Head</h1><div><p>One two three four.</p><p>Five six seven eight.</p></div></body>") == "Head\nOne two three four.\nFive six seven eight."
+    assert f("<article><p>See <a href=x>all of this is one link</a></p><p><a href=y>a paragraph that is a link</a></p><p>x&am<b>p;</b></p></article>") == "See all of this is one link\na paragraph that is a link\nx&amp;"
     assert f("a < b and <") == "a < b and <" and f("<p>cut &am") == "cut &am"
     assert f("<div>" * 3000 + "deep") == "deep" and f("<a " * 20_000).startswith("<a")
 
