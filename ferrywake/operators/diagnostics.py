@@ -135,9 +135,7 @@ def shapes(entries: DataFrame, cap: int = SHAPES) -> DataFrame:
 
 
 def _events(rows: DataFrame, key: Column, cap: int, samples: int) -> DataFrame:
-    """Events by key: the first `cap` keys to arrive, each with its first entry's fields and its first messages.
-
-    The messages come by a ranking of each key's first rows per line range, so no key is sorted whole."""
+    """Events by key: the first `cap` keys to arrive, each with its first entry's fields and its first messages."""
     order = F.struct("file_index", "line_number")
     keyed = rows.withColumn("key", key)
     stats = keyed.groupBy("key").agg(
@@ -146,10 +144,9 @@ def _events(rows: DataFrame, key: Column, cap: int, samples: int) -> DataFrame:
     kept = stats.orderBy("arrived").limit(cap)
     if not samples:
         return kept
-    local = Window.partitionBy("key", F.floor(F.col("line_number") / 100_000), "file_index").orderBy("line_number")
-    few = keyed.select("key", "file_index", "line_number", "ts_ms", "message").withColumn("i", F.row_number().over(local)).where(F.col("i") <= samples)
-    final = Window.partitionBy("key").orderBy("file_index", "line_number")
-    first = few.withColumn("i", F.row_number().over(final)).where(F.col("i") <= samples)
+    # the rank limit is applied in each task before the exchange (WindowGroupLimit), so no key is gathered whole
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("file_index", "line_number"))
+    first = keyed.select("key", "file_index", "line_number", "ts_ms", "message").withColumn("i", rank).where(F.col("i") <= samples)
     listed = first.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "ts_ms", redacted(F.col("message")).alias("message")))), lambda s: F.struct(s["ts_ms"].alias("ts_ms"), s["message"].alias("message"))).alias("samples"))
     return kept.join(listed, "key")
 
