@@ -27,11 +27,13 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import defaultdict
 from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +45,8 @@ SEED = 20260101
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 #: Edges of known units held in one task, at most, and characters of text segmented at once.
-EDGES = 2_500_000
-AT_ONCE = 1_000_000
+EDGES = 1_500_000
+AT_ONCE = 800_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 NONE = -(1 << 31)
 FULL = (1 << 64) - 1
@@ -387,50 +389,40 @@ def decode(ids, path: str = MODEL) -> str:
 
 
 def segment(docs: DataFrame, k: int = K, seed: int = SEED, path: str = MODEL) -> DataFrame:
-    """(doc_id, sample, ids, log_prob, perturbed, inclusion): up to k distinct segmentations of each text, by falling
-    perturbed value."""
+    """(doc_id, sample, ids, log_prob, perturbed, inclusion, decoded_crc32): up to k distinct segmentations of each text, by
+    falling perturbed value; the last column is the CRC of the text that the ids decode to."""
 
     def work(batches):
         lat = Lattices(vocabulary(path))
-        kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64())
+        raw = lat.vocab.raw
+        kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64(), pa.int64())
         for b in batches:
-            docs_, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            docs_, texts = b.column(0).to_pylist(), b.column(1)
+            sizes = pc.coalesce(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
             i = 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j] or "") <= AT_ONCE):
-                    size += len(texts[j] or "")
+            while i < len(docs_):
+                j, size = i + 1, int(sizes[i])
+                while j < len(docs_) and size + sizes[j] <= AT_ONCE:
+                    size += int(sizes[j])
                     j += 1
-                keys = _mix(np.array([(d or 0) & (1 << 64) - 1 for d in docs_[i:j]], np.uint64) * BASE + np.uint64(seed))
+                keys = _mix(np.array([(d or 0) & FULL for d in docs_[i:j]], np.uint64) * BASE + np.uint64(seed))
                 rows = []
-                for d, some in zip(docs_[i:j], sample(lat, keys, [units_of(t) for t in texts[i:j]], k)):
-                    rows += [(d, s, lat.ids(e), lp, g, q) for s, (e, lp, g, q) in enumerate(some)]
-                flat = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(r[2]) for r in rows])), pa.int32()), pa.array(np.concatenate([r[2] for r in rows]) if rows else [], pa.int32()))
-                yield pa.RecordBatch.from_arrays([flat if c == 2 else pa.array([r[c] for r in rows], kinds[c]) for c in range(6)], ["doc_id", "sample", "ids", "log_prob", "perturbed", "inclusion"])
+                for d, some in zip(docs_[i:j], sample(lat, keys, [units_of(t) for t in texts[i:j].to_pylist()], k)):
+                    for s, (e, lp, g, q) in enumerate(some):
+                        ids = lat.ids(e)
+                        text = b"".join(map(raw.__getitem__, ids.tolist()))
+                        rows.append((d, s, ids, lp, g, q, zlib.crc32(text[1:] if text[:1] == b" " else text)))
+                flat = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(r[2]) for r in rows])), pa.int32()), pa.array(np.concatenate([r[2] for r in rows]), pa.int32()))
+                yield pa.RecordBatch.from_arrays([flat if c == 2 else pa.array([r[c] for r in rows], kinds[c]) for c in range(7)], ["doc_id", "sample", "ids", "log_prob", "perturbed", "inclusion", "decoded_crc32"])
                 i = j
 
-    return only(docs, "doc_id", "text").mapInArrow(work, "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, inclusion double")
+    return only(docs, "doc_id", "text").mapInArrow(work, "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, inclusion double, decoded_crc32 long")
 
 
-def digests(found: DataFrame, path: str = MODEL) -> DataFrame:
-    """found (of segment) with the ids as their number and the CRCs of ids and of the text they decode to."""
-    import zlib
-
-    def work(batches):
-        for b in batches:
-            ids = b.column(2)
-            off, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-            n, crc, text = [], [], []
-            raw = vocabulary(path).raw
-            for a, e in zip(off[:-1].tolist(), off[1:].tolist()):
-                x = flat[a:e]
-                n.append(e - a)
-                crc.append(zlib.crc32(x.astype("<i4").tobytes()))
-                t = b"".join(map(raw.__getitem__, x.tolist()))
-                text.append(zlib.crc32(t[1:] if t[:1] == b" " else t))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(text, pa.int64()), *b.columns[3:]], ["doc_id", "sample", "n_pieces", "ids_crc32", "decoded_crc32", "log_prob", "perturbed", "inclusion"])
-
-    return found.mapInArrow(work, "doc_id long, sample int, n_pieces long, ids_crc32 long, decoded_crc32 long, log_prob double, perturbed double, inclusion double")
+def digests(found: DataFrame) -> DataFrame:
+    """found (of segment) with the ids as their number and the CRC of their comma-joined text."""
+    crc = F.crc32(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"))
+    return found.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), crc.alias("ids_crc32"), "decoded_crc32", "log_prob", "perturbed", "inclusion")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
