@@ -37,12 +37,14 @@ COARSE = np.float32(1e-4)
 UNIT = 16384
 PIVOTS = 512
 BATCH = 4096
+#: Pairs of nodes whose distance is measured at once.
+PAIRS = 32_768
 
 
 class Tree:
     """Nodes over unit vectors: centre, covering radius, children, and the range of their points in `order`."""
 
-    def __init__(self, x: np.ndarray, top: float = 1.0):
+    def __init__(self, x: np.ndarray, top: float = 0.5):
         self.x, self.coarse = x, x.astype(np.float32)
         n = len(x)
         centre, radius, low, high, kids = [], [], [], [], []
@@ -199,7 +201,15 @@ def dual(a: Tree, b: Tree, wa: np.ndarray, wb: np.ndarray, cosine: float, same:
 
 def _follow(found: Found, i: np.ndarray, j: np.ndarray, cosine: float, reach: float, same: bool) -> None:
     a, b = found.a, found.b
-    while len(i):
+    todo = [(i, j)]
+    while todo:  # depth first and a bounded number of pairs at a time
+        i, j = todo.pop()
+        if len(i) > PAIRS:
+            half = len(i) // 2
+            todo += [(i[half:], j[half:]), (i[:half], j[:half])]
+            continue
+        if not len(i):
+            continue
         dot = np.einsum("ij,ij->i", a.x[a.centre[i]], b.x[b.centre[j]])
         d = np.sqrt(np.maximum(0.0, 2 - 2 * dot))
         ra, rb = a.radius[i], b.radius[j]
@@ -224,6 +234,7 @@ def _follow(found: Found, i: np.ndarray, j: np.ndarray, cosine: float, reach: fl
         if same:  # a single point does not meet itself
             rest = ~((i == j) & (a.radius[i] == 0))
             i, j = i[rest], j[rest]
+        todo.append((i, j))
 
 
 def _unit(row) -> np.ndarray | None:
