@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import only, partitions, stash, table
-from .graph import components, local_roots
+from .graph import components, contract, local_roots
 
 SLACK = 1e-9
 #: More than single precision can be off in a cosine of unit vectors.
@@ -39,6 +39,8 @@ PIVOTS = 512
 BATCH = 4096
 #: Pairs of nodes whose distance is measured at once.
 PAIRS = 32_768
+#: Links held before they are contracted.
+LINKS = 2_000_000
 
 
 class Tree:
@@ -140,10 +142,14 @@ def _net(coarse: np.ndarray, points: np.ndarray, r: float):
 
 
 class Found:
-    """Link counts by weight of the points of two trees, and links that join their components."""
+    """Link counts by weight of the points of two trees, and links that join their components.
+
+    In the links, points of the second tree are numbered after those of the first (unless both are one). They are
+    contracted to a forest whenever many have gathered."""
 
     def __init__(self, a: Tree, b: Tree, wa: np.ndarray, wb: np.ndarray):
         self.a, self.b = a, b
+        self.shift, self.n_links = 0 if a is b else len(a.order), 0
         self.sum_a, self.sum_b = (np.append(0, np.cumsum(w[t.order])) for w, t in ((wa, a), (wb, b)))
         self.add_a, self.add_b = np.zeros(len(wa) + 1, np.int64), np.zeros(len(wb) + 1, np.int64)
         self.links: list[tuple[np.ndarray, np.ndarray]] = []
@@ -160,8 +166,18 @@ class Found:
         for t, nodes, c, other in ((a, i, b.centre[j], 0), (b, j, a.centre[i], 1)):
             n = t.high[nodes] - t.low[nodes]
             points = t.order[np.repeat(t.low[nodes] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            pair = (points, np.repeat(c, n))
-            self.links.append(pair if other == 0 else pair[::-1])
+            mine, theirs = (0, self.shift) if other == 0 else (self.shift, 0)
+            self.links.append((points + mine, np.repeat(c, n) + theirs))
+            self.n_links += len(points)
+        if self.n_links > LINKS:
+            self.links = [self.forest()]
+            self.n_links = len(self.links[0][0])
+
+    def forest(self) -> tuple[np.ndarray, np.ndarray]:
+        """At most one link for each point, of the same components."""
+        if not self.links:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return contract(*(np.concatenate([p[i] for p in self.links]) for i in (0, 1)))
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         out = []
@@ -201,15 +217,26 @@ def dual(a: Tree, b: Tree, wa: np.ndarray, wb: np.ndarray, cosine: float, same:
 
 def _follow(found: Found, i: np.ndarray, j: np.ndarray, cosine: float, reach: float, same: bool) -> None:
     a, b = found.a, found.b
-    todo = [(i, j)]
+    todo: list[tuple[np.ndarray, np.ndarray | int]] = [(i, j)]
     while todo:  # depth first and a bounded number of pairs at a time
         i, j = todo.pop()
-        if len(i) > PAIRS:
+        if not isinstance(j, np.ndarray):  # children of one node from a place on, each with itself and those behind it
+            last = min(len(i), j + max(1, PAIRS // len(i)))
+            n = len(i) - np.arange(j, last)
+            p = np.repeat(np.arange(j, last), n)
+            q = p + np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)
+            if last < len(i):
+                todo.append((i, last))
+            p, q = i[p], i[q]
+            meet = (p != q) | (a.radius[p] > 0)  # a single point does not meet itself
+            i, j = p[meet], q[meet]
+        if not len(i):
+            continue
+        opened = np.maximum(a.kid_at[i + 1] - a.kid_at[i], b.kid_at[j + 1] - b.kid_at[j])
+        if len(i) > 1 and len(i) + opened.sum() > 8 * PAIRS:
             half = len(i) // 2
             todo += [(i[half:], j[half:]), (i[:half], j[:half])]
             continue
-        if not len(i):
-            continue
         dot = np.einsum("ij,ij->i", a.x[a.centre[i]], b.x[b.centre[j]])
         d = np.sqrt(np.maximum(0.0, 2 - 2 * dot))
         ra, rb = a.radius[i], b.radius[j]
@@ -225,16 +252,8 @@ def _follow(found: Found, i: np.ndarray, j: np.ndarray, cosine: float, reach: fl
         k1, o1 = a.open(ai[wide])
         k2, o2 = b.open(bj[~wide])
         ni, nj = [k1, ai[~wide][o2]], [bj[wide][o1], k2]
-        for k in i[go_own]:  # a node with itself: its children two by two
-            kids = a.open(np.array([k]))[0]
-            p, q = np.triu_indices(len(kids))
-            ni.append(kids[p])
-            nj.append(kids[q])
-        i, j = np.concatenate(ni), np.concatenate(nj)
-        if same:  # a single point does not meet itself
-            rest = ~((i == j) & (a.radius[i] == 0))
-            i, j = i[rest], j[rest]
-        todo.append((i, j))
+        todo += [(a.kids[a.kid_at[k] : a.kid_at[k + 1]], 0) for k in i[go_own] if a.kid_at[k + 1] > a.kid_at[k]]
+        todo.append((np.concatenate(ni), np.concatenate(nj)))
 
 
 def _unit(row) -> np.ndarray | None:
@@ -328,8 +347,7 @@ def _links_of_size(classes: DataFrame, n: int, size: int, cosine: float, unit: i
             held.update(tree=tree, ids=ids, w=w, rows=[])
             found = dual(tree, tree, w, w, cosine, same=True)
             one, two = found.counts()
-            a, b = (np.concatenate([p[i] for p in found.links]) if found.links else np.zeros(0, np.int64) for i in (0, 1))
-            held["root"] = local_roots(len(ids), a, b)
+            held["root"] = local_roots(len(ids), *found.forest())
             # pairs within a node's own range are met by its children, so both counts hold each pair once
             rest = held["root"] != np.arange(len(ids))
             return pack(ids, one + two, ids[rest], ids[held["root"][rest]])
@@ -341,12 +359,11 @@ def _links_of_size(classes: DataFrame, n: int, size: int, cosine: float, unit: i
             held.update(guests=[], n=0)
             found = dual(Tree(x), held["tree"], w, held["w"], cosine)
             guests, homes = found.counts()
-            out = pack(held["ids"], homes, np.zeros(0, np.int64), np.zeros(0, np.int64))
-            if found.links:
-                a, b = (np.concatenate([p[i] for p in found.links]) for i in (0, 1))
-                pair = np.unique(np.stack([a, held["root"][b]]), axis=1)
-                out += pack(ids, guests, ids[pair[0]], held["ids"][pair[1]])
-            return out
+            none = np.zeros(0, np.int64)
+            a, b = found.forest()
+            name = np.concatenate([ids, held["ids"][held["root"]]])
+            differ = name[a] != name[b]
+            return pack(held["ids"], homes, none, none) + pack(ids, guests, name[a][differ], name[b][differ])
 
         def close():
             out = []
