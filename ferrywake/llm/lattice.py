@@ -45,8 +45,8 @@ SEED = 20260101
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 #: Edges of known units held in one task, at most, and characters of text segmented at once.
-EDGES = 1_500_000
-AT_ONCE = 800_000
+EDGES = 3_000_000
+AT_ONCE = 1_200_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 NONE = -(1 << 31)
 FULL = (1 << 64) - 1
