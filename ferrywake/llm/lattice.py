@@ -420,9 +420,8 @@ def segment(docs: DataFrame, k: int = K, seed: int = SEED, path: str = MODEL) ->
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """found (of segment) with the ids as their number and the CRC of their comma-joined text."""
-    crc = F.crc32(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"))
-    return found.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), crc.alias("ids_crc32"), "decoded_crc32", "log_prob", "perturbed", "inclusion")
+    """found (of segment) with the ids as their number and the XXH64 hash of them all."""
+    return found.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "decoded_crc32", "log_prob", "perturbed", "inclusion")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
