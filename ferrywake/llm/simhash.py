@@ -10,6 +10,11 @@ Defined results: a null or empty text, or one without words, has fingerprint 0,
 other; fewer words than a shingle make one shingle; repeated shingles count each time; a bit set in
 exactly half the hashes is 0; a null doc_id keeps its row and the component of its fingerprint (null if
 no row of the component has an id). An empty table gives no rows. Extra columns are ignored.
+
+The pipeline's stage (dissimilar) asks for more than a Hamming distance of 64 bits can tell: every pair of a Jaccard
+similarity of 0.8 over five-word shingles, which differ in about ten bits and often more. It proposes texts by
+bands of least hashes instead (a pair at 0.8 shares one of 24 bands of 5 with probability 0.99993) and counts
+the shingles of all pairs in what the proposals join. Texts without words are one class.
 """
 
 from __future__ import annotations
@@ -201,16 +206,140 @@ def near_components(docs: DataFrame, shingle: int = 4, bits: int = 4, blocks: in
     return fps.join(named.hint("merge"), "fp").select("doc_id", "thash", "fp", "component_id")
 
 
-def survivors(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
+def _bands(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One key for each band: a hash of the least values of its permutations over a set of shingle hashes."""
+    rng = np.random.Generator(np.random.Philox(key=42))
+    mul, add = rng.integers(0, 1 << 63, (2, bands * rows), dtype=np.uint64)
+    least = np.full(bands * rows, (1 << 64) - 1, np.uint64)
+    for i in range(0, len(h), 2048):
+        x = h[i : i + 2048, None] * (mul | np.uint64(1)) + add
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        np.minimum(least, (x ^ (x >> np.uint64(29))).min(axis=0), out=least)
+    least = least.reshape(bands, rows)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(least)], np.uint64)
+
+
+def _set_of(text: bytes, shingle: int) -> np.ndarray:
+    return np.unique(hashes(text, shingle))
+
+
+def shingled(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """(doc_id, thash, node, keys): a hash of the set of shingles, and the keys of its bands."""
+
+    def of(batches):
+        for b in batches:
+            sets = [_set_of(t, shingle) for t in texts_of(b.column(2))]
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            keys = [_bands(x, bands, rows).view(np.int64) for x in sets]
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), keys], ["doc_id", "thash", "node", "keys"])
+
+    texts = only(docs, "doc_id", "text").select("doc_id", text_hash().alias("thash"), "text")
+    return texts.mapInArrow(of, "doc_id long, thash long, node long, keys array<long>")
+
+
+def similar(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """Index of the smallest of each set's component, by the links of all pairs of a Jaccard similarity of `least` or more."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    at = np.append(0, np.cumsum(size))
+    root = np.full(n, -1)
+    left = np.arange(n)  # not reached yet: only these are compared
+    flat, owner = ids, np.repeat(np.arange(n), size)
+    mark = np.zeros(ids.max(initial=-1) + 1, bool)
+    for first in range(n):
+        if root[first] >= 0:
+            continue
+        root[first] = first
+        todo = [first]
+        while todo:
+            i = todo.pop()
+            mine = ids[at[i] : at[i + 1]]
+            mark[mine] = True
+            both = np.bincount(owner[mark[flat]], minlength=n)[left]
+            mark[mine] = False
+            hit = left[(root[left] < 0) & (both >= least * (size[i] + size[left] - both))]
+            root[hit] = first
+            todo += hit.tolist()
+            if len(hit) or i == first:
+                left = left[root[left] < 0]
+                keep = root[owner] < 0
+                flat, owner = flat[keep], owner[keep]
+            if not len(left):
+                return root
+    return root
+
+
+def _verified(shingle: int, least: float):
+    """Over rows (root, node, text) sorted by root and node: (node, to) within each group of one root."""
+
+    def work(batches):
+        nodes: list[int] = []
+        sets: list[np.ndarray] = []
+        now = None
+
+        def out():
+            if len(nodes) > 1:
+                root = similar(sets, least)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([nodes[r] for r in root.tolist()], pa.int64())], ["node", "to"])
+
+        for b in batches:
+            for r, n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2))):
+                if r != now:
+                    yield from out()
+                    nodes, sets, now = [], [], r
+                if not nodes or nodes[-1] != n:
+                    nodes.append(n)
+                    sets.append(_set_of(t, shingle))
+        yield from out()
+
+    return work
+
+
+def similar_components(docs: DataFrame, shingle: int, least: float, bands: int, rows: int) -> DataFrame:
+    """(doc_id, thash, component_id) for each document: components of the texts whose sets of shingles have a Jaccard
+    similarity of `least` or more. Texts that agree in a band are proposed; of what they join, all pairs count exactly."""
+    found = stash(shingled(docs, shingle, bands, rows))
+    none = F.lit(NO_ID)
+    one = F.struct("thash", F.coalesce("doc_id", none).alias("id"))
+    classes = stash(found.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(one).alias("one"), F.min("keys").alias("keys")))
+    keyed = classes.select("node", F.posexplode("keys").alias("band", "key"))
+    first = stash(keyed.groupBy("band", "key").agg(F.min("node").alias("to"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    links = keyed.join(first.hint("merge"), ["band", "key"]).where("node <> to").select("node", "to")
+    reach = stash(components(links))
+    groups = reach.union(reach.select(F.col("root").alias("node"), "root").distinct())
+    members = groups.join(classes.select("node", "one").hint("merge"), "node").select("root", "node", F.col("one.thash").alias("th"), F.col("one.id").alias("id"))
+    texts = docs.select(text_hash().alias("th"), F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), "text")
+    held = texts.join(members.hint("merge"), ["th", "id"]).select("root", "node", "text")
+    spread = held.repartition(partitions(docs.sparkSession), "root").sortWithinPartitions("root", "node")
+    joined = stash(spread.mapInArrow(_verified(shingle, least), "node long, to long"))
+    member = stash(classes.select("node", "rep").join(joined.hint("merge"), "node", "left").select("node", "rep", F.coalesce("to", "node").alias("to")))
+    ids = member.groupBy("to").agg(F.min("rep").alias("component_id"))
+    named = member.join(ids.hint("merge"), "to").select("node", "component_id")
+    return found.select("doc_id", "thash", "node").join(named.hint("merge"), "node").select("doc_id", "thash", "component_id")
+
+
+def _one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """One document of each component, that of the smallest id, with its columns. Rows with its id and text are one
     document; a component without any id keeps one row of each text."""
-    found = near_components(docs, shingle, bits)
     none = F.lit(NO_ID)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", none).alias("__id"), F.col("thash").alias("__th")).distinct()
     marked = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), none), "__th": text_hash()})
     return marked.join(kept.hint("merge"), ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"]).drop("__id", "__th")
 
 
+def survivors(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
+    """One document of each component of fingerprints."""
+    return _one_of_each(docs, near_components(docs, shingle, bits))
+
+
+def dissimilar(docs: DataFrame, shingle: int = 5, least: float = 0.8, bands: int = 24, rows: int = 5) -> DataFrame:
+    """One document of each component of texts whose sets of shingles have a Jaccard similarity of `least` or more."""
+    return _one_of_each(docs, similar_components(docs, shingle, least, bands, rows))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

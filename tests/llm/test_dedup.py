@@ -76,6 +76,40 @@ def test_simhash_against_all_pairs(spark, make, prose, bucket):
     assert kept.columns == make(rows).columns
 
 
+def edited(text, n, seed):
+    r, words = random.Random(seed), text.split()
+    for i in r.sample(range(len(words)), n):
+        words[i] = f"new{i}x{seed}"
+    return " ".join(words)
+
+
+def test_pipeline_keeps_no_similar_texts(make, prose):
+    base = [prose(i, 300) for i in range(12)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    rows += [(100 + 10 * i + k, edited(t, 1 + k, 10 * i + k)) for i, t in enumerate(base) for k in range(10)]
+    rows += [(400, base[0].upper()), (401, base[0]), (401, base[0]), (None, base[1]), (402, None), (403, ""), (404, "!"), (405, "two words"), (406, "TWO  words"), (None, "no id")]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in rows]
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or len(a & b) >= 0.8 * len(a | b)]
+    comp = closed(len(rows), links)
+    least = {c: min((d for (d, _), e in zip(rows, comp) if e == c and d is not None), default=None) for c in comp}
+    got = simhash.dissimilar(make(rows))
+    ids = [x.doc_id for x in got.collect()]
+    assert Counter(ids) == Counter(least[c] for c in set(comp)) and got.columns == make(rows).columns
+    assert simhash.dissimilar(make([])).count() == 0
+    near = [d for d, _ in simhash.near_components(make(rows)).where("doc_id < 400").select("component_id", "fp").distinct().collect()]
+    assert len(set(near)) > len([d for d in ids if d is not None and d < 400])
+
+
+def test_similar_sets_against_all_pairs():
+    rng = np.random.default_rng(4)
+    base = [np.unique(rng.integers(0, 1 << 62, 100)) for _ in range(5)]
+    sets = [np.unique(np.concatenate([rng.choice(base[k], 100 - m, replace=False), rng.integers(0, 1 << 62, m)])) for k in range(5) for m in rng.integers(0, 30, 16)]
+    rng.shuffle(order := np.arange(len(sets)))
+    sets = [sets[i] for i in order]
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))]
+    assert simhash.similar(sets, 0.8).tolist() == closed(len(sets), links) and len(links) > 50
+
+
 def test_simhash_empty(make):
     assert simhash.near_components(make([])).count() == 0
 
