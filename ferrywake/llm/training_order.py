@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 import zlib
 
 import numpy as np
@@ -39,6 +40,7 @@ TASKS = 1_000_000
 HEAD = np.dtype([("doc_id", "<i8"), ("chunk", "<i4"), ("tokens", "<i4")])
 NO_ID = -(1 << 63)
 ROUNDS = 6
+EDGE = re.compile(r"\S(?=[ \n\t\r])")
 
 
 def record(length: int) -> np.dtype:
@@ -109,13 +111,18 @@ def encoder(ranks: str | None):
 
 
 def _parts(text: str, size: int = 50_000):
-    """A long text cut before spaces, which no piece spans from the left, or anywhere in a run without any."""
+    """A long text cut where white space follows something else: there a piece ends whatever stands around it. A run without
+    such a place stays whole."""
     at = 0
     while at < len(text):
         end = at + size
         if end < len(text):
-            space = text.rfind(" ", at + 1, end)
-            end = space if space > at and text[space - 1] not in " \n\t\r" else end
+            cuts = [m.start() + 1 for m in EDGE.finditer(text, at, end)]
+            if cuts:
+                end = cuts[-1]
+            else:
+                m = EDGE.search(text, end - 1)
+                end = m.start() + 1 if m else len(text)
         yield text[at:end]
         at = end
 

@@ -1,5 +1,6 @@
 import itertools
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -90,6 +91,21 @@ def test_token_ids_of_long_lines():
         assert whole[: len(small) - 5] == small[:-5]
 
 
+@pytest.mark.parametrize("gap", ["\n", "\t", "  ", "\n    ", "\r\n", "\xa0", "", "-"])
+def test_token_ids_of_long_texts_are_those_of_the_tokenizer(gap):
+    import base64
+
+    import tiktoken
+
+    with open(training_order.RANKS, "rb") as f:
+        pieces = {base64.b64decode(a): int(i) for a, i in (line.split() for line in f)}
+    pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    whole = tiktoken.Encoding("whole", pat_str=pattern, mergeable_ranks=pieces, special_tokens={})
+    r = random.Random(len(gap))
+    text = gap.join(r.choice(["the", "hein", "eranenes", "漢字", "don't", "12", "thing,"]) for _ in range(40_000))
+    assert len(text) > 100_000 and training_order.encoder(training_order.RANKS)(text.encode())[:-1].tolist() == whole.encode_ordinary(text)
+
+
 @pytest.fixture(scope="module")
 def vocab():
     return lattice.vocabulary()
