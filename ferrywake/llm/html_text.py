@@ -4,7 +4,8 @@ A page becomes a tree of elements (implied end tags and unclosed elements as bro
 every node the characters and tags below it, and those of links, give a link-adjusted density of
 characters per tag (Sun, Song and Liao, 2011); a node's sum is that of its children's densities. The
 node of the greatest sum is the core of the content; the least density on its path to the body is the
-threshold that parts of its subtree must meet. Elements that are boilerplate by what they are (menus,
+threshold: outside the core, a block is kept where its density reaches it, with the headings before it.
+Where the page names the article (<article>, <main>) around the core, that is kept whole and nothing else. Elements that are boilerplate by what they are (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) take part in no
 density and no text.
 
@@ -177,6 +178,49 @@ def _headings(node: Node) -> list[Node]:
     return [y for y in before if isinstance(y, Node) and not y.bad and y.name in ("h1", "h2")]
 
 
+def _kept(root: Node, best: Node, least: float) -> list[Node | str]:
+    """What the text is made of, in page order: the core, and outside it each part that reaches the threshold."""
+    top = _container(best)
+    if top.name in ("article", "main") or top is root:
+        return [*_headings(top), top]
+    path, up = set(), top.parent
+    while up is not None:
+        path.add(id(up))
+        up = up.parent
+    own = {id(y) for y in _headings(top)}
+    out: list[Node | str] = []
+    todo: list = [(root, False)]
+    waiting: list[Node] = []  # headings, until a kept block follows
+    while todo:
+        x, inside = todo.pop()  # inside: x stands in a node that reaches the threshold, directly
+        if isinstance(x, str):
+            if inside:
+                out.append(x)
+        elif x is None:  # the end of a block: headings count for what follows within it
+            waiting.clear()
+        elif x.bad:
+            continue
+        elif x is top or id(x) in own:
+            out += [*(y for y in waiting if x is top and id(y) not in own), x]
+            waiting.clear()
+        elif id(x) in path:
+            todo.append((None, False))
+            todo.extend((y, x.density >= least) for y in reversed(x.parts))
+        elif x.name not in BLOCK:
+            if inside and (not x.link_chars or x.density >= least):
+                out.append(x)
+        elif x.name in HEADS:
+            waiting.append(x)
+        elif x.chars and x.density >= least:
+            out += [*waiting, x]
+            waiting.clear()
+        elif any(isinstance(y, Node) for y in x.parts):  # parts of a thin node may reach the threshold
+            todo.append((None, False))
+            todo.extend((y, False) for y in reversed(x.parts))
+    return out
+
+
+HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPACE = re.compile(r"\s+")
 
 
@@ -185,7 +229,8 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     best, least = core(root)
-    top = _container(best)
+    kept = _kept(root, best, least)
+    tops = {id(x) for x in kept}
     lines: list[str] = []
     held: list[str] = []
 
@@ -195,20 +240,20 @@ def main_text(page: str | None) -> str:
             lines.append(line)
         held.clear()
 
-    todo: list = [top, *reversed(_headings(top))]
+    todo: list = kept[::-1]
     while todo:
         x = todo.pop()
         if isinstance(x, str):
             held.append(html.unescape(x) if "&" in x else x)
         elif x is None:
             flush()
-        elif x.bad and x is not top:
+        elif x.bad and id(x) not in tops:
             if x.name in BLOCK:
                 flush()
         elif x.name == "br":
             held.append(" ")
         else:
-            block = x.name in BLOCK or x is top
+            block = x.name in BLOCK or x.name == "#root"
             if block:
                 flush()
             if x.name in ("ul", "ol", "dl") and x.link_tags > 2 and x.link_chars > 0.9 * x.chars and x.density < least:

@@ -52,6 +52,18 @@ def test_pii_mask(make):
     assert got[1] == "mail [EMAIL], card [CARD]." and got[2] is None and got[3] == "clean" and "[" in got[4] and pii.mask(df).columns == df.columns
 
 
+def test_main_text_in_several_blocks():
+    f = html_text.main_text
+    parts = [[f"{w} {i} " + "words of the text " * 16 for i in range(3)] for w in ("first", "second")]
+    block = ["<div>" + "".join(f"<p>{t}</p>" for t in p) + "</div>" for p in parts]
+    want = "\n".join(t.strip() for p in parts for t in p)
+    links = "<div>" + "<a href=x>one link</a> " * 9 + "</div>"
+    assert f(f"<body>{links}<div id=content>{block[0]}{block[1]}</div>{links}</body>") == want
+    assert f(f"<body>{links}<div id=content>{block[0]}<h2>Then</h2>{block[1]}<h2>Links</h2>{links}</div></body>") == want.replace("second 0", "Then\nsecond 0")
+    assert f(f"<body>{links}<div>{block[0]}</div><div><div>{block[1]}</div></div></body>") == want
+    assert f(f"<body><div id=content>{block[0]}{block[1]}</div></body>") == want
+
+
 def test_main_text():
     f = html_text.main_text
     assert f(None) == f("") == f("<html><body></body></html>") == f("<script>x") == ""
