@@ -32,6 +32,8 @@ from .common import only, partitions, stash, table
 from .graph import components, contract, local_roots
 
 SLACK = 1e-9
+#: Least radius of a node of several points: the distance of nearly equal vectors is measured no finer than this.
+FINEST = 1e-7
 #: More than single precision can be off in a cosine of unit vectors.
 COARSE = np.float32(1e-4)
 UNIT = 16384
@@ -44,7 +46,7 @@ LINKS = 2_000_000
 
 
 class Tree:
-    """Nodes over unit vectors: centre, covering radius, children, and the range of their points in `order`."""
+    """Nodes over unit vectors: centre, covering radius (0 for single points only), children, and the range of their points in `order`."""
 
     def __init__(self, x: np.ndarray, top: float = 0.5):
         self.x, self.coarse = x, x.astype(np.float32)
@@ -55,7 +57,7 @@ class Tree:
         def node(points: np.ndarray, at: int, c: int) -> int:
             d = _far(x[points], x[c][None])[:, 0]
             centre.append(c)
-            radius.append(float(d.max()) if len(points) > 1 else 0.0)
+            radius.append(max(float(d.max()), FINEST) if len(points) > 1 else 0.0)
             low.append(at)
             high.append(at + len(points))
             kids.append(None)
@@ -78,7 +80,7 @@ class Tree:
             while r > radius[k]:  # levels that would hold a single node
                 r /= 2
             points = order[low[k] : high[k]].copy()
-            if r < 1e-7:  # equal but for rounding: single points
+            if r < FINEST:  # equal but for rounding: single points
                 kids[k] = [node(points[i : i + 1], low[k] + i, points[i]) for i in range(len(points))]
                 continue
             kids[k] = split(points, low[k], r)

@@ -191,3 +191,21 @@ def test_cover_tree_against_all_pairs(spark, unit):
     want = Counter((d, n[i], None if d is None else least[comp[i]]) for i, (d, _) in enumerate(rows))
     assert Counter((x.vec_id, x.n_links, x.component_id) for x in got) == want
     assert cover_tree.near_links(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [32, 384])
+def test_cover_tree_of_nearly_equal_vectors(spark, size):
+    rng = np.random.default_rng(size)
+    rows = []
+    for i in range(60):
+        v = rng.normal(size=size).astype(np.float32)
+        u = v.copy()
+        u[i % size] = np.nextafter(u[i % size], np.float32(9))
+        rows += [(2 * i, v.astype(float).tolist()), (2 * i + 1, (u.astype(float) if i % 2 else 3 * v.astype(float)).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    full = np.array([v for _, v in rows])
+    full /= np.sqrt((full * full).sum(axis=1))[:, None]
+    near = full @ full.T >= 0.9
+    assert (near.sum(axis=1) == 2).all()
+    got = {x.vec_id: (x.n_links, x.component_id) for x in cover_tree.near_links(df).collect()}
+    assert got == {i: (1, i - i % 2) for i, _ in rows}
