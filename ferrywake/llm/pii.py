@@ -36,14 +36,22 @@ class Kind:
 
 
 LOCAL = "[A-Za-z0-9._%+-]"
+#: Characters of an IBAN by its length and country.
+IBANS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_KNOWN = "|".join(" ".join(IBANS.values()).split())
+#: Of a known country, as long as its IBANs are, so that no word behind is taken in; of any other, a run up to the next IBAN of a known one.
+IBAN = "|".join(rf"(?:{x.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, x in IBANS.items()) + rf"|(?!{_KNOWN})[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20(?:{_KNOWN})[0-9]{{2}})\x20?[A-Z0-9]){{11,30}}+"
 KINDS = (
     # a match starts at the start of a run, or where the last match ended
     Kind("email", rf"(?:(?<!{LOCAL})|\G){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.7, r"\b(e-?mail|mail|contact|write|correo|courriel)\b"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.5, r"\b(ip|host|server|address|addr|login)\b"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9]){15,}+", "", 0.6, r"\b(card|visa|master|credit|tarjeta|carte|karte)\b"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, r"\b(phone|tel|call|mobile|fax|telefon)\b"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "", 0.8, r"\b(iban|account|konto|cuenta|compte|bank)\b"),
-    Kind("secret", r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,200}[0-9])[A-Za-z0-9_-]{32,200}+(?![A-Za-z0-9_-])", "", 0.3, r"\b(token|secret|key|api|apikey|password|passwd)\b", 0.6),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?:{IBAN})(?![A-Za-z0-9])", "", 0.8, r"\b(iban|account|konto|cuenta|compte|bank)\b"),
+    Kind("secret", r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{32,}+(?![A-Za-z0-9_-])", "", 0.3, r"\b(token|secret|key|api|apikey|password|passwd)\b", 0.6),
 )
 BASE = KINDS[:4]
 REACH = 40

@@ -52,6 +52,23 @@ def test_pii_mask(make):
     assert got[1] == "mail [EMAIL], card [CARD]." and got[2] is None and got[3] == "clean" and "[" in got[4] and pii.mask(df).columns == df.columns
 
 
+def test_pii_iban_before_other_words(make):
+    texts = {
+        1: ("pay DE89370400440532013000 BIC COBADEFFXXX", 4, 26), 2: ("DE89370400440532013000 Please", 0, 22), 3: ("DE89370400440532013000 2024 due", 0, 22), 4: ("GB82 WEST 1234 5698 7654 32 I think", 0, 27),
+        5: ("NO93 8601 1117 947 A1", 0, 18), 6: ("ZZ12 AB DE89370400440532013000", 8, 30),
+    }
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "iban"] for r in pii.find(make([(i, t[0]) for i, t in texts.items()])).collect()}
+    assert got == {i: [t[1:]] for i, t in texts.items()}
+    masked = {r.doc_id: r.text for r in pii.mask(make([(1, texts[1][0])])).collect()}
+    assert masked == {1: "pay [IBAN] BIC COBADEFFXXX"}
+
+
+def test_pii_long_secrets(make):
+    keys = ["a1" * 150, "x" * 300 + "7" + "y" * 20, "k9" * 50_000]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans if s.kind == "secret"] for r in pii.find(make([(i, f"token {k} end") for i, k in enumerate(keys)])).collect()}
+    assert got == {i: [("secret", 6, 6 + len(k))] for i, k in enumerate(keys)}
+
+
 def test_main_text_in_several_blocks():
     f = html_text.main_text
     parts = [[f"{w} {i} " + "words of the text " * 16 for i in range(3)] for w in ("first", "second")]
