@@ -296,6 +296,36 @@ def _captured(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Q["o04_capture_round_trip"] = _captured
 SQL["o04_capture_round_trip"] = duck("samples") + "SELECT path, ts_ms, FIRST(value ORDER BY file_id, block_start, block_ordinal, point_idx) AS value FROM samples WHERE path LIKE 'serverStatus/opcounters/%' AND file_id = 0 GROUP BY 1, 2"
+
+
+def _all_captured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sample of every file, written as capture files (one for each file and day, in memory) and decoded again.
+
+    Beside each series stands one that tells where it has a value (1), a null (2) or nothing (0)."""
+    import numpy as np
+    import pandas as pd
+
+    first = F.struct("block_start", "block_ordinal", "point_idx")
+    one = frame(spark, sf_dir, "samples").groupBy("file_id", "path", "ts_ms").agg(F.min_by(F.struct("value"), first)["value"].alias("value"))
+
+    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
+        ts, row = np.unique(pdf["ts_ms"], return_inverse=True)
+        paths, col = np.unique(pdf["path"].astype(object), return_inverse=True)
+        values, held = np.zeros((2, len(paths), len(ts)), np.int64)
+        values[col, row], held[col, row] = pdf["value"], pdf["held"]
+        names = ["start", *(f"value/{p}" for p in paths), *(f"held/{p}" for p in paths)]
+        return pd.DataFrame({"file_id": [pdf["file_id"].iloc[0]], "content": [capture.encode_block(names, np.concatenate([ts[None], values, held]))]})
+
+    points = one.select("file_id", "path", "ts_ms", F.coalesce("value", F.lit(0)).alias("value"), F.when(F.col("value").isNull(), 2).otherwise(1).alias("held"))
+    files = points.withColumn("day", F.floor(F.col("ts_ms") / 86_400_000)).groupBy("file_id", "day").applyInPandas(encode, "file_id int, content binary")
+    back = capture.samples_of(files).where("path <> 'start'").withColumn("of", F.regexp_replace("path", "^(value|held)/", ""))
+    kind = F.col("path").startswith("held/")
+    both = back.groupBy("file_id", F.col("of").alias("path"), "ts_ms").agg(F.max(F.when(~kind, F.col("value"))).alias("value"), F.max(F.when(kind, F.col("value"))).alias("held"))
+    return both.where("held > 0").select("file_id", "path", "ts_ms", F.when(F.col("held") == 1, F.col("value")).alias("value"))
+
+
+Q["o04_capture_round_trip_all"] = _all_captured
+SQL["o04_capture_round_trip_all"] = duck("samples") + "SELECT file_id, path, ts_ms, FIRST(value ORDER BY block_start, block_ordinal, point_idx) AS value FROM samples GROUP BY 1, 2, 3"
 _paths = ", l AS (SELECT file_id, block_ordinal, LIST(DISTINCT path ORDER BY path) AS ps FROM samples GROUP BY 1, 2), f AS (SELECT ps, MIN(ROW(file_id, block_ordinal)) AS seen FROM l GROUP BY 1), i AS (SELECT ps, ROW_NUMBER() OVER (ORDER BY seen) - 1 AS id FROM f), u AS (SELECT id, UNNEST(ps) AS path FROM i)"
 
 

@@ -48,3 +48,15 @@ def test_streaming_windows(spark, tmp_path):
     finally:
         q.stop()
     assert [tuple(r) for r in rows] == [("a.b", 60, 1770, 59)]
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables here")
+def test_captures_of_all_paths_and_negative_values(spark, tmp_path):
+    events = spark.read.parquet(f"{DIR}/events.parquet")
+    signed = events.withColumn("value", events["value"] * (1 - 2 * (events["event_id"] % 2)))
+    signed.write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(c.sql(SQL["o04_capture_round_trip_all"]).fetchall(), key=repr)
+    got = sorted((tuple(r) for r in Q["o04_capture_round_trip_all"](spark, str(tmp_path)).collect()), key=repr)
+    assert got == want and len({r[1] for r in got}) > 5 and {r[0] for r in got} == {0, 1, 2} and min(r[3] for r in got) < -1
