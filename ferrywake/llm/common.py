@@ -65,6 +65,26 @@ def only(docs: DataFrame, key: str, *columns: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias(key), *columns)
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores added as it takes to be none of the columns (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def slices(batches, rows: int = 1024, size: int = 8 << 20):
+    """The batches in parts of at most `rows` rows and about `size` bytes, so that memory does not follow the batches."""
+    for b in batches:
+        step = max(1, min(rows, b.num_rows * size // max(1, b.nbytes)))
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
+
+
 def runs(*keys: np.ndarray) -> np.ndarray:
     """Start of each run of equal keys, and the length of the arrays at the end."""
     n = len(keys[0])

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import only, table
+from .common import only, slices, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BITS = 18
@@ -260,15 +260,15 @@ def sample(docs: DataFrame, documents: int = SAMPLE, spans: int = SPANS, span: i
     return [(r.lang, r.words.split(" ")) for r in got]
 
 
-def _label(sent, names: list[str]):
-    """Batches of (unused, text, further columns) as the further columns with label and score."""
+def _label(sent, text: int, names: list[str]):
+    """Batches with label and score behind their columns; text: which of them is the text."""
 
     def work(batches):
         model: Model | None = sent.value
         known: dict[str, int] = defaultdict(count().__next__)
         scores = np.zeros((0, 0))
-        for b in batches:
-            texts = b.column(1).to_pylist()
+        for b in slices(batches, 4096):
+            texts = b.column(text).to_pylist()
             lang, best = [UND] * len(texts), np.zeros(len(texts))
             held, size = [], 0
 
@@ -300,7 +300,7 @@ def _label(sent, names: list[str]):
                     done()
                     held, size = [], 0
             done()
-            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(lang), pa.array(best)], [*b.schema.names[2:], *names])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(best)], [*b.schema.names, *names])
 
     return work
 
@@ -312,12 +312,11 @@ def train(docs: DataFrame) -> Model | None:
 
 def label(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs (any columns, with text) with label and score appended by the given names; other columns go through untouched."""
-    if set(names) & set(docs.columns):
+    if {x.lower() for x in names} & {x.lower() for x in docs.columns}:
         raise ValueError(f"columns of the names {names} are there already")
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    df = docs.select(F.lit(0).alias("__a"), F.col("text").alias("__b"), *docs.columns)
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    return df.mapInArrow(_label(sent, list(names)), schema)
+    return docs.mapInArrow(_label(sent, docs.columns.index("text"), list(names)), schema)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, table
+from .common import only, slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 K = 2
@@ -109,8 +109,8 @@ class Lattices:
     """Lattices of known units. All edges of a node stand together, the most probable first, with the probability
     cumulated up to each: a walk takes the first edge that exceeds a uniform number, mostly the first of all."""
 
-    def __init__(self, vocab: Vocabulary):
-        self.vocab = vocab
+    def __init__(self, vocab: Vocabulary, most: int = EDGES):
+        self.vocab, self.most = vocab, most
         self.clear()
 
     def clear(self) -> None:
@@ -122,7 +122,7 @@ class Lattices:
 
     def of(self, units, n: int) -> np.ndarray:
         """Root node of each of n units."""
-        if len(self.cum) > EDGES:
+        if len(self.cum) > self.most:
             self.clear()
         known = self.known
         before = len(known)
@@ -388,21 +388,22 @@ def decode(ids, path: str = MODEL) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def segment(docs: DataFrame, k: int = K, seed: int = SEED, path: str = MODEL) -> DataFrame:
+def segment(docs: DataFrame, k: int = K, seed: int = SEED, path: str = MODEL, edges: int = EDGES, at_once: int = AT_ONCE) -> DataFrame:
     """(doc_id, sample, ids, log_prob, perturbed, inclusion, decoded_crc32): up to k distinct segmentations of each text, by
-    falling perturbed value; the last column is the CRC of the text that the ids decode to."""
+    falling perturbed value; the last column is the CRC of the text that the ids decode to. edges, at_once: what a task
+    holds, no matter for the result."""
 
     def work(batches):
-        lat = Lattices(vocabulary(path))
+        lat = Lattices(vocabulary(path), edges)
         raw = lat.vocab.raw
         kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.float64(), pa.int64())
-        for b in batches:
+        for b in slices(batches, 2048):
             docs_, texts = b.column(0).to_pylist(), b.column(1)
             sizes = pc.coalesce(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
             i = 0
             while i < len(docs_):
                 j, size = i + 1, int(sizes[i])
-                while j < len(docs_) and size + sizes[j] <= AT_ONCE:
+                while j < len(docs_) and size + sizes[j] <= at_once:
                     size += int(sizes[j])
                     j += 1
                 keys = _mix(np.array([(d or 0) & FULL for d in docs_[i:j]], np.uint64) * BASE + np.uint64(seed))

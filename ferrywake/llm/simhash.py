@@ -12,9 +12,11 @@ exactly half the hashes is 0; a null doc_id keeps its row and the component of i
 no row of the component has an id). An empty table gives no rows. Extra columns are ignored.
 
 The pipeline's stage (dissimilar) asks for more than a Hamming distance of 64 bits can tell: every pair of a Jaccard
-similarity of 0.8 over five-word shingles, which differ in about ten bits and often more. It proposes texts by
-bands of least hashes instead (a pair at 0.8 shares one of 24 bands of 5 with probability 0.99993) and counts
-the shingles of all pairs in what the proposals join. Texts without words are one class.
+similarity of 0.8 over five-word shingles, which differ in about ten bits and often more. There the blocks on which
+close pairs must meet are bands of least hashes instead (a pair at 0.8 shares one of 24 bands of 5 with probability
+0.99993), and each meeting is verified by counting shingles. Sets that are equal are one class; the classes of a bucket
+meet its first class, and those that this leaves in different components meet each other in blocks: no task holds
+more than two blocks, however large the bucket. Texts without words are one class.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, partitions, runs, stash, table, texts_of
+from .common import fresh, only, partitions, runs, slices, stash, table, texts_of
 from .graph import components, local_roots
 
 UPPER = bytes(range(65, 91))
@@ -206,116 +208,218 @@ def near_components(docs: DataFrame, shingle: int = 4, bits: int = 4, blocks: in
     return fps.join(named.hint("merge"), "fp").select("doc_id", "thash", "fp", "component_id")
 
 
-def _bands(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One key for each band: a hash of the least values of its permutations over a set of shingle hashes."""
-    rng = np.random.Generator(np.random.Philox(key=42))
-    mul, add = rng.integers(0, 1 << 63, (2, bands * rows), dtype=np.uint64)
-    least = np.full(bands * rows, (1 << 64) - 1, np.uint64)
-    for i in range(0, len(h), 2048):
-        x = h[i : i + 2048, None] * (mul | np.uint64(1)) + add
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        np.minimum(least, (x ^ (x >> np.uint64(29))).min(axis=0), out=least)
-    least = least.reshape(bands, rows)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(least)], np.uint64)
-
+#: Bytes of text whose words are hashed at once, unless one word is longer.
+PIECE = 1 << 20
+ODD = 0x9E3779B97F4A7C15
+MIX = np.uint64(0xD6E8FEB86659FD93)
+#: Members compared with their group's first in one task, and texts compared with each other at once (twice that many).
+MEMBERS = 1024
+BLOCK = 256
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.append(np.ones(1, np.uint64), np.full(max(0, n - 1), base % (1 << 64), np.uint64)))
+
+
+_tables: dict[str, np.ndarray] = {}
+
+
+def _word_hashes(line: bytes) -> np.ndarray:
+    """A polynomial hash of each word of a line of words with one space between."""
+    if not _tables:
+        rng = np.random.Generator(np.random.Philox(key=42))
+        _tables.update(byte=rng.integers(0, 1 << 63, 256, dtype=np.uint64), up=_powers(ODD, 2 * PIECE), down=_powers(pow(ODD, -1, 1 << 64), 2 * PIECE))
+    out, at = [], 0
+    while at < len(line):
+        end = line.find(b" ", at + PIECE) if at + PIECE < len(line) else -1
+        end = len(line) if end < 0 else end
+        data = np.frombuffer(line, np.uint8, end - at, at)
+        up, down = _tables["up"], _tables["down"]
+        if len(data) >= len(up):  # one word of over PIECE bytes
+            up, down = _powers(ODD, len(data) + 1), _powers(pow(ODD, -1, 1 << 64), len(data) + 1)
+        sums = np.append(np.uint64(0), np.cumsum(_tables["byte"][data] * up[: len(data)]))
+        gaps = np.flatnonzero(data == 32)
+        start, stop = np.append(0, gaps + 1), np.append(gaps, len(data))
+        out.append((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
+        at = end + 1
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
+    """The sorted hashes of each text's distinct shingles; fewer words than a shingle make one."""
+    words = [t.translate(FOLD).split() for t in texts]
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    flat = _word_hashes(b" ".join([w for ws in words for w in ws]))
+    flat = (flat ^ (flat >> np.uint64(32))) * MIX
+    at = np.append(0, np.cumsum(size))
 
-def _set_of(text: bytes, shingle: int) -> np.ndarray:
-    return np.unique(hashes(text, shingle))
+    def rolled(x: np.ndarray, k: int) -> np.ndarray:
+        h = np.zeros(len(x) - k + 1, np.uint64)
+        for i in range(k):
+            h = h * np.uint64(ODD) + x[i : i + len(h)]
+        h = (h ^ (h >> np.uint64(32))) * MIX
+        return h ^ (h >> np.uint64(29))
+
+    full = rolled(flat, shingle) if len(flat) >= shingle else None
+    out = []
+    for n, a in zip(size.tolist(), at.tolist()):
+        if n >= shingle:
+            out.append(np.unique(full[a : a + n - shingle + 1]))
+        else:
+            out.append(rolled(flat[a : a + n], n) if n else np.zeros(0, np.uint64))
+    return out
+
+
+def _bands(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
+    """One key for each set and band: a hash of the least values of the band's permutations over the set."""
+    rng = np.random.Generator(np.random.Philox(key=42))
+    mul, add = (x.astype(np.uint32) for x in rng.integers(0, 1 << 32, (2, bands * rows), dtype=np.uint64))
+    mul |= np.uint32(1)
+    least = np.full((len(sets), bands * rows), (1 << 32) - 1, np.uint32)
+    for j, h in enumerate(sets):
+        for i in range(0, len(h), 1024):
+            x = (h[i : i + 1024] >> np.uint64(32)).astype(np.uint32)[:, None] * mul
+            x += add
+            x ^= x >> np.uint32(15)
+            x *= np.uint32(0x2C1B3C6D)
+            x ^= x >> np.uint32(13)
+            np.minimum(least[j], x.min(axis=0), out=least[j])
+    key = np.zeros((len(sets), bands), np.uint64)
+    for r in range(rows):
+        key = (key ^ least[:, r::rows][:, :bands].astype(np.uint64)) * np.uint64(ODD)
+        key ^= key >> np.uint64(32)
+    return key
 
 
 def shingled(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, thash, node, keys): a hash of the set of shingles, and the keys of its bands."""
 
     def of(batches):
-        for b in batches:
-            sets = [_set_of(t, shingle) for t in texts_of(b.column(2))]
+        for b in slices(batches):
+            sets = shingle_sets(texts_of(b.column(2)), shingle)
             node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-            keys = [_bands(x, bands, rows).view(np.int64) for x in sets]
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(_bands(sets, bands, rows).view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), keys], ["doc_id", "thash", "node", "keys"])
 
     texts = only(docs, "doc_id", "text").select("doc_id", text_hash().alias("thash"), "text")
     return texts.mapInArrow(of, "doc_id long, thash long, node long, keys array<long>")
 
 
-def similar(sets: list[np.ndarray], least: float) -> np.ndarray:
-    """Index of the smallest of each set's component, by the links of all pairs of a Jaccard similarity of `least` or more."""
+def _alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    if not len(a):
+        return True
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return both >= least * (len(a) + len(b) - both)
+
+
+def _with_first(shingle: int, least: float):
+    """Over rows (to, chunk, role, node, text) in this order: (node, to) where a member (role 1) is like its group's first (role 0)."""
+
+    def work(batches):
+        first, at = np.zeros(0, np.uint64), None
+        for b in slices(batches):
+            to, chunk, role, node = (b.column(i).to_pylist() for i in range(4))
+            out = []
+            for t, c, r, n, x in zip(to, chunk, role, node, shingle_sets(texts_of(b.column(4)), shingle)):
+                if r == 0:
+                    first, at = x, (t, c)
+                elif (t, c) == at and _alike(first, x, least):
+                    out.append((n, t))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["node", "to"])
+
+    return work
+
+
+def like_pairs(sets: list[np.ndarray], label: np.ndarray, half: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of a Jaccard similarity of `least` or more, of different labels and different halves (negative halves meet all)."""
     n = len(sets)
     size = np.array([len(x) for x in sets])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    at = np.append(0, np.cumsum(size))
-    root = np.full(n, -1)
-    left = np.arange(n)  # not reached yet: only these are compared
-    flat, owner = ids, np.repeat(np.arange(n), size)
+    at, owner = np.append(0, np.cumsum(size)), np.repeat(np.arange(n), size)
     mark = np.zeros(ids.max(initial=-1) + 1, bool)
-    for first in range(n):
-        if root[first] >= 0:
+    out = []
+    for i in range(n - 1):
+        other = np.flatnonzero((np.arange(n) > i) & (label != label[i]) & ((half != half[i]) | (half < 0)))
+        other = other[np.minimum(size[other], size[i]) >= least * np.maximum(size[other], size[i])]
+        if not len(other):
             continue
-        root[first] = first
-        todo = [first]
-        while todo:
-            i = todo.pop()
-            mine = ids[at[i] : at[i + 1]]
-            mark[mine] = True
-            both = np.bincount(owner[mark[flat]], minlength=n)[left]
-            mark[mine] = False
-            hit = left[(root[left] < 0) & (both >= least * (size[i] + size[left] - both))]
-            root[hit] = first
-            todo += hit.tolist()
-            if len(hit) or i == first:
-                left = left[root[left] < 0]
-                keep = root[owner] < 0
-                flat, owner = flat[keep], owner[keep]
-            if not len(left):
-                return root
-    return root
-
-
-def _verified(shingle: int, least: float):
-    """Over rows (root, node, text) sorted by root and node: (node, to) within each group of one root."""
+        mine = ids[at[i] : at[i + 1]]
+        mark[mine] = True
+        both = np.bincount(owner[at[i + 1] :][mark[ids[at[i + 1] :]]], minlength=n)[other]
+        mark[mine] = False
+        out += [(i, j) for j in other[both >= least * (size[i] + size[other] - both)].tolist()]
+    return out
+
+
+def _with_others(shingle: int, least: float):
+    """Over rows (bucket, i, j, block, label, node, text) sorted by bucket, i and j: (node, to) for the alike of blocks i and j."""
 
     def work(batches):
-        nodes: list[int] = []
-        sets: list[np.ndarray] = []
+        held: list[tuple] = []
         now = None
 
         def out():
-            if len(nodes) > 1:
-                root = similar(sets, least)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([nodes[r] for r in root.tolist()], pa.int64())], ["node", "to"])
-
-        for b in batches:
-            for r, n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b.column(2))):
-                if r != now:
-                    yield from out()
-                    nodes, sets, now = [], [], r
-                if not nodes or nodes[-1] != n:
-                    nodes.append(n)
-                    sets.append(_set_of(t, shingle))
-        yield from out()
+            label = np.array([x[1] for x in held])
+            half = np.array([-1 if now[1] == now[2] else x[0] for x in held])
+            got = like_pairs([x[3] for x in held], label, half, least)
+            return pa.RecordBatch.from_arrays([pa.array([held[p[k]][2] for p in got], pa.int64()) for k in (0, 1)], ["node", "to"])
+
+        for b in slices(batches):
+            bucket, i, j, block, label, node = (b.column(k).to_pylist() for k in range(6))
+            for u, k, l, n, x in zip(zip(bucket, i, j), block, label, node, shingle_sets(texts_of(b.column(6)), shingle)):
+                if u != now:
+                    if len(held) > 1:
+                        yield out()
+                    held, now = [], u
+                if not held or held[-1][2] != n:
+                    held.append((k, l, n, x))
+        if len(held) > 1:
+            yield out()
 
     return work
 
 
-def similar_components(docs: DataFrame, shingle: int, least: float, bands: int, rows: int) -> DataFrame:
+def similar_links(docs: DataFrame, classes: DataFrame, shingle: int, least: float, most: int = MEMBERS, block: int = BLOCK) -> DataFrame:
+    """classes (node, one, keys). Links (node, to) whose components are those of all pairs that meet in a band and are alike.
+
+    Each class is compared with the first of its bucket, in parts of `most`; only where that leaves a bucket of several
+    components are its other pairs of different components compared, in blocks of `block`."""
+    p = partitions(docs.sparkSession)
+    keyed = classes.select("node", F.posexplode("keys").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
+    several = keyed.groupBy("bucket").agg(F.min("node").alias("to"), F.count("*").alias("n")).where("n > 1")
+    inside = stash(keyed.join(several.hint("merge"), "bucket"))
+    star = stash(inside.where("node <> to").select("node", "to").distinct())
+    sized = stash(star.groupBy("to").agg(F.ceil(F.count("*") / most).cast("int").alias("parts")))
+    none = F.lit(NO_ID)
+    need = star.select("node").union(star.select(F.col("to").alias("node"))).distinct().join(classes.select("node", "one").hint("merge"), "node")
+    texts = docs.select(text_hash().alias("th"), F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), "text")
+    held = stash(texts.join(need.select("node", F.col("one.thash").alias("th"), F.col("one.id").alias("id")).hint("merge"), ["th", "id"]).select("node", "text").dropDuplicates(["node"]))
+    members = star.join(sized.hint("merge"), "to").select("to", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("chunk"), "node")
+    members = members.join(held.hint("merge"), "node").select("to", "chunk", F.lit(1).alias("role"), "node", "text")
+    firsts = sized.join(held.withColumnRenamed("node", "to").hint("merge"), "to").select("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("chunk"), F.lit(0).alias("role"), F.col("to").alias("node"), "text")
+    rows = firsts.union(members).repartition(p, "to", "chunk").sortWithinPartitions("to", "chunk", "role")
+    links = stash(rows.mapInArrow(_with_first(shingle, least), "node long, to long"))
+    named = inside.join(components(links).hint("merge"), "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("label"))
+    named = stash(named.where("n > 2"))  # the one pair of a bucket of two has been compared
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    open_ = named.join(mixed.hint("merge"), "bucket")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    dealt = open_.select("bucket", "node", "label", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
+    dealt = dealt.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "label", "node").join(held.hint("merge"), "node")
+    dealt = dealt.select("bucket", "i", "j", "block", "label", "node", "text").repartition(p, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+    return links.union(stash(dealt.mapInArrow(_with_others(shingle, least), "node long, to long")))
+
+
+def similar_components(docs: DataFrame, shingle: int, least: float, bands: int, rows: int, most: int = MEMBERS, block: int = BLOCK) -> DataFrame:
     """(doc_id, thash, component_id) for each document: components of the texts whose sets of shingles have a Jaccard
-    similarity of `least` or more. Texts that agree in a band are proposed; of what they join, all pairs count exactly."""
+    similarity of `least` or more, of all pairs that agree in a band."""
     found = stash(shingled(docs, shingle, bands, rows))
-    none = F.lit(NO_ID)
-    one = F.struct("thash", F.coalesce("doc_id", none).alias("id"))
+    one = F.struct("thash", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
     classes = stash(found.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(one).alias("one"), F.min("keys").alias("keys")))
-    keyed = classes.select("node", F.posexplode("keys").alias("band", "key"))
-    first = stash(keyed.groupBy("band", "key").agg(F.min("node").alias("to"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    links = keyed.join(first.hint("merge"), ["band", "key"]).where("node <> to").select("node", "to")
-    reach = stash(components(links))
-    groups = reach.union(reach.select(F.col("root").alias("node"), "root").distinct())
-    members = groups.join(classes.select("node", "one").hint("merge"), "node").select("root", "node", F.col("one.thash").alias("th"), F.col("one.id").alias("id"))
-    texts = docs.select(text_hash().alias("th"), F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), "text")
-    held = texts.join(members.hint("merge"), ["th", "id"]).select("root", "node", "text")
-    spread = held.repartition(partitions(docs.sparkSession), "root").sortWithinPartitions("root", "node")
-    joined = stash(spread.mapInArrow(_verified(shingle, least), "node long, to long"))
-    member = stash(classes.select("node", "rep").join(joined.hint("merge"), "node", "left").select("node", "rep", F.coalesce("to", "node").alias("to")))
+    reach = components(similar_links(docs, classes.select("node", "one", "keys"), shingle, least, most, block))
+    member = stash(classes.select("node", "rep").join(reach.hint("merge"), "node", "left").select("node", "rep", F.coalesce("root", "node").alias("to")))
     ids = member.groupBy("to").agg(F.min("rep").alias("component_id"))
     named = member.join(ids.hint("merge"), "to").select("node", "component_id")
     return found.select("doc_id", "thash", "node").join(named.hint("merge"), "node").select("doc_id", "thash", "component_id")
@@ -325,9 +429,10 @@ def _one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """One document of each component, that of the smallest id, with its columns. Rows with its id and text are one
     document; a component without any id keeps one row of each text."""
     none = F.lit(NO_ID)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", none).alias("__id"), F.col("thash").alias("__th")).distinct()
-    marked = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), none), "__th": text_hash()})
-    return marked.join(kept.hint("merge"), ["__id", "__th"], "left_semi").dropDuplicates(["__id", "__th"]).drop("__id", "__th")
+    key = fresh(docs.columns, "id_", "th_")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", none).alias(key[0]), F.col("thash").alias(key[1])).distinct()
+    marked = docs.withColumns({key[0]: F.coalesce(F.col("doc_id").cast("long"), none), key[1]: text_hash()})
+    return marked.join(kept.hint("merge"), key, "left_semi").dropDuplicates(key).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def survivors(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
@@ -335,9 +440,9 @@ def survivors(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
     return _one_of_each(docs, near_components(docs, shingle, bits))
 
 
-def dissimilar(docs: DataFrame, shingle: int = 5, least: float = 0.8, bands: int = 24, rows: int = 5) -> DataFrame:
+def dissimilar(docs: DataFrame, shingle: int = 5, least: float = 0.8, bands: int = 24, rows: int = 5, most: int = MEMBERS, block: int = BLOCK) -> DataFrame:
     """One document of each component of texts whose sets of shingles have a Jaccard similarity of `least` or more."""
-    return _one_of_each(docs, similar_components(docs, shingle, least, bands, rows))
+    return _one_of_each(docs, similar_components(docs, shingle, least, bands, rows, most, block))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,7 +83,8 @@ def edited(text, n, seed):
     return " ".join(words)
 
 
-def test_pipeline_keeps_no_similar_texts(make, prose):
+@pytest.mark.parametrize("limits", [{}, {"most": 3, "block": 2}])
+def test_pipeline_keeps_no_similar_texts(make, prose, limits):
     base = [prose(i, 300) for i in range(12)]
     rows = [(i, t) for i, t in enumerate(base)]
     rows += [(100 + 10 * i + k, edited(t, 1 + k, 10 * i + k)) for i, t in enumerate(base) for k in range(10)]
@@ -92,7 +93,7 @@ def test_pipeline_keeps_no_similar_texts(make, prose):
     links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or len(a & b) >= 0.8 * len(a | b)]
     comp = closed(len(rows), links)
     least = {c: min((d for (d, _), e in zip(rows, comp) if e == c and d is not None), default=None) for c in comp}
-    got = simhash.dissimilar(make(rows))
+    got = simhash.dissimilar(make(rows), **limits)
     ids = [x.doc_id for x in got.collect()]
     assert Counter(ids) == Counter(least[c] for c in set(comp)) and got.columns == make(rows).columns
     assert simhash.dissimilar(make([])).count() == 0
@@ -107,7 +108,22 @@ def test_similar_sets_against_all_pairs():
     rng.shuffle(order := np.arange(len(sets)))
     sets = [sets[i] for i in order]
     links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))]
-    assert simhash.similar(sets, 0.8).tolist() == closed(len(sets), links) and len(links) > 50
+    every, none = np.arange(len(sets)), np.full(len(sets), -1)
+    assert sorted((j, i) for i, j in simhash.like_pairs(sets, every, none, 0.8)) == sorted(links) and len(links) > 50
+    half, label = every % 2, every % 3
+    assert sorted((j, i) for i, j in simhash.like_pairs(sets, label, half, 0.8)) == sorted((i, j) for i, j in links if (i - j) % 2 and (i - j) % 3)
+
+
+def test_shingle_sets(monkeypatch, prose):
+    texts = [prose(i, 40) for i in range(8)] + ["", " ", "one", "One  TWO\tthree four", "one two three four five", "é " * 30, "x" * 500 + " y"]
+    want = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in texts]
+    whole = simhash.shingle_sets([t.encode() for t in texts], 5)
+    for a, x in zip(want, whole):
+        assert len(a) == len(x)
+        for b, y in zip(want, whole):
+            assert len(a & b) == len(np.intersect1d(x, y))
+    monkeypatch.setattr(simhash, "PIECE", 64)
+    assert all((x == y).all() for x, y in zip(whole, simhash.shingle_sets([t.encode() for t in texts], 5)))
 
 
 def test_simhash_empty(make):
