@@ -1,15 +1,16 @@
 """Language of words and documents by a linear-chain conditional random field.
 
-Words (runs of letters, lower-cased) are labelled in their order. A word's scores come from hashed
+Words (runs of letters with their combining marks, lower-cased) are labelled in their order. A word's scores come from hashed
 features: its affixes, its character n-grams, and itself if it is in the lexicon of words the training
 sample repeats; learned transitions join neighbours. Training maximises the likelihood of label chains
 cut from documents of known language, spliced so that chains switch between languages; labelling takes
 the marginals of forward-backward over the whole document, and the document gets the label with the
 greatest mean marginal, which is its score.
 
-The model is fitted on a sample bounded by SPANS chains of at most SPAN words, from about SAMPLE
-documents chosen by a hash of their id (the bound is the parameters' product, whatever the input). What
-is sent to the executors is the weight table, of fixed size. Everything else covers all rows and whole
+The model is fitted on a sample bounded by SPANS chains of at most SPAN words, at most CHAINS of one
+document, from about SAMPLE documents chosen by a hash of their id (the bound is the parameters' product,
+whatever the input); at most LEXICON words of it have features of their own. What is sent to the executors
+is the weight table: 2^BITS rows of one number for each label. Everything else covers all rows and whole
 texts, with no exchange of rows.
 
 Forward-backward runs over the chain of all documents of a batch at once, restarted at each document, in
@@ -23,11 +24,13 @@ equal results; of equal means the first label in order wins.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import defaultdict
 from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,10 +38,31 @@ from pyspark.sql import types as T
 from .common import only, slices, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _class(kinds: str, top: int = 0x10000) -> str:
+    """The characters below `top` whose category begins with one of the kinds, as the inside of a character class."""
+    out, low = [], None
+    for c in range(top + 1):
+        inside = c < top and any(unicodedata.category(chr(c)).startswith(k) for k in kinds.split())
+        if inside and low is None:
+            low = c
+        elif not inside and low is not None:
+            out.append(f"\\U{low:08x}-\\U{c - 1:08x}")
+            low = None
+    return "".join(out)
+
+
+#: LETTERS takes numbers such as \u00bd for letters and cuts words at combining marks: texts with either are read by WORDS.
+UNUSUAL = re.compile(f"[{_class('M Nl No')}\U00010000-\U0010ffff]")
+WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 BITS = 18
 SAMPLE = 3000
 SPANS = 6000
 SPAN = 48
+#: Chains cut from one document, at most, so that no long one makes the sample.
+CHAINS = 4
+#: Words with a feature of their own, the most frequent that the sample repeats.
 LEXICON = 20_000
 #: Words held with their scores in one task, at most.
 KNOWN = 400_000
@@ -48,7 +72,11 @@ UND = "und"
 
 
 def words(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    """Runs of letters, with the marks that follow a letter, in lower case."""
+    if not text:
+        return []
+    text = text.lower()
+    return LETTERS.findall(text) if text.isascii() or not UNUSUAL.search(text) else WORDS.findall(text)
 
 
 def features(ws: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,9 +118,9 @@ def summed(weights: np.ndarray, f: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.add.reduceat(weights[f], at, axis=0) if len(at) else np.zeros((0, weights.shape[1]))
 
 
-def marginals(scores: np.ndarray, first: np.ndarray, step: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Probability of each label at each place of a chain. first: whether a place starts a new chain;
-    step[i, j]: score of label j after i; begin[j]: score of starting with j."""
+def messages(scores: np.ndarray, first: np.ndarray, step: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward messages (a place's own scores included) and backward messages at each place of a chain, each scaled to sum
+    to 1. first: whether a place starts a new chain; step[i, j]: score of label j after i; begin[j]: of starting with j."""
     n, k = scores.shape
     width = max(1, int(np.sqrt(n) / 2))
     rows = -(-n // width)
@@ -121,17 +149,36 @@ def marginals(scores: np.ndarray, first: np.ndarray, step: np.ndarray, begin: np
         b[r] = v
         v = p[r] @ v
         v /= v.sum()
-    out = np.empty((rows, width, k))
+    ahead, back = np.empty((rows, width, k)), np.empty((rows, width, k))
     for s in range(width):
         a = onward(a, s)
-        out[:, s] = a
+        ahead[:, s] = a
     for s in range(width - 1, -1, -1):
-        out[:, s] *= b
+        back[:, s] = b
         x = e[:, s] * b
         b = np.where(new[:, s, None], (x @ start)[:, None], x @ move.T)
         b /= b.sum(axis=1, keepdims=True)
-    out = out.reshape(-1, k)[:n]
-    return out / out.sum(axis=1, keepdims=True)
+    return ahead.reshape(-1, k)[:n], back.reshape(-1, k)[:n]
+
+
+def marginals(scores: np.ndarray, first: np.ndarray, step: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Probability of each label at each place of a chain."""
+    a, b = messages(scores, first, step, begin)
+    a *= b
+    return a / a.sum(axis=1, keepdims=True)
+
+
+def expected(scores: np.ndarray, first: np.ndarray, step: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The gradient of the log of the sum over all labellings: by the scores (the marginals), by step (expected pairs of
+    neighbours) and by begin (expected first labels)."""
+    a, b = messages(scores, first, step, begin)
+    p = a * b
+    p /= p.sum(axis=1, keepdims=True)
+    on = np.flatnonzero(~first)
+    ahead = np.exp(scores[on] - scores[on].max(axis=1, keepdims=True)) * b[on]
+    pair = a[on - 1][:, :, None] * np.exp(step - step.max())[None] * ahead[:, None, :]
+    pair /= pair.sum(axis=(1, 2), keepdims=True)
+    return p, pair.sum(axis=0), p[first].sum(axis=0)
 
 
 class Model:
@@ -173,8 +220,8 @@ def unambiguous(spans: list[tuple[str, list[str]]], run: int = 4) -> list[tuple[
     return out
 
 
-def fit(spans: list[tuple[str, list[str]]], epochs: int = 6, rate: float = 0.2, batch: int = 128, seed: int = 7) -> Model | None:
-    """Learns from (label, words) spans by stochastic gradients of the chain likelihood."""
+def fit(spans: list[tuple[str, list[str]]], epochs: int = 6, rate: float = 0.2, batch: int = 128, seed: int = 7, lexicon: int = LEXICON) -> Model | None:
+    """Learns from (label, words) spans by stochastic gradients of the chain likelihood: weights, transitions, beginnings."""
     spans = unambiguous(spans) or [(lab, ws) for lab, ws in spans if ws]
     if not spans:
         return None
@@ -183,7 +230,7 @@ def fit(spans: list[tuple[str, list[str]]], epochs: int = 6, rate: float = 0.2,
     for _, ws in spans:
         for w in ws:
             counts[w] = counts.get(w, 0) + 1
-    common = sorted((w for w, c in counts.items() if c > 1), key=lambda w: (-counts[w], w))[:LEXICON]
+    common = sorted((w for w, c in counts.items() if c > 1), key=lambda w: (-counts[w], w))[:lexicon]
     model = Model(labels, {w: i for i, w in enumerate(common)})
     number = {lab: i for i, lab in enumerate(labels)}
     vocab: dict[str, int] = {}
@@ -191,7 +238,7 @@ def fit(spans: list[tuple[str, list[str]]], epochs: int = 6, rate: float = 0.2,
     f, at = features(list(vocab), model.lexicon)
     ends = np.append(at[1:], len(f))
     rng = np.random.default_rng(seed)
-    squares, step_squares = np.full_like(model.weights, 1e-2), np.full_like(model.step, 1e-2)
+    squares, step_squares, begin_squares = (np.full_like(x, 1e-2) for x in (model.weights, model.step, model.begin))
     k = len(labels)
     for epoch in range(epochs):
         order = rng.permutation(len(spans))
@@ -208,7 +255,7 @@ def fit(spans: list[tuple[str, list[str]]], epochs: int = 6, rate: float = 0.2,
             n = ends[own] - at[own]
             mf = f[np.repeat(at[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             score = np.add.reduceat(model.weights[mf], np.cumsum(n) - n, axis=0).astype(np.float64)[back]
-            p = marginals(score, first, model.step, model.begin)
+            p, pairs, begins_ = expected(score, first, model.step, model.begin)
             g = -p
             g[np.arange(len(w)), y] += 1
             per_word = np.zeros((len(own), k))
@@ -219,16 +266,15 @@ def fit(spans: list[tuple[str, list[str]]], epochs: int = 6, rate: float = 0.2,
             grad /= len(mine)
             squares[uf] += grad**2
             model.weights[uf] += rate * (grad - 1e-4 * model.weights[uf]) / np.sqrt(squares[uf])
-            # transitions: the pairs seen less the pairs expected under the marginals of the ends of each step
+            # transitions and beginnings: what was seen less what is expected
             inner = np.flatnonzero(~first)
             seen = np.zeros((k, k))
             np.add.at(seen, (y[inner - 1], y[inner]), 1)
-            pair = p[inner - 1, :, None] * np.exp(model.step)[None] * (p[inner] / np.maximum(p[inner - 1] @ np.exp(model.step), 1e-12))[:, None, :]
-            pair /= np.maximum(pair.sum(axis=(1, 2), keepdims=True), 1e-12)
-            gs = (seen - pair.sum(axis=0)) / len(mine)
-            step_squares += gs**2
-            model.step += rate * gs / np.sqrt(step_squares)
-            model.step -= model.step.mean()
+            for x, x_squares, gx in ((model.step, step_squares, seen - pairs), (model.begin, begin_squares, np.bincount(y[first], minlength=k) - begins_)):
+                gx = gx / len(mine)
+                x_squares += gx**2
+                x += rate * gx / np.sqrt(x_squares)
+                x -= x.mean()
     return model
 
 
@@ -236,8 +282,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, documents: int = SAMPLE, spans: int = SPANS, span: int = SPAN) -> list[tuple[str, list[str]]]:
-    """At most `spans` chains of at most `span` words from about `documents` of the labelled rows."""
+def sample(docs: DataFrame, documents: int = SAMPLE, spans: int = SPANS, span: int = SPAN, chains: int = CHAINS) -> list[tuple[str, list[str]]]:
+    """At most `spans` chains of at most `span` words, `chains` of one document, from about `documents` of the labelled rows."""
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = docs.count()
     if not n:
@@ -251,7 +297,7 @@ def sample(docs: DataFrame, documents: int = SAMPLE, spans: int = SPANS, span: i
             for d, t, lang in zip(*(b.column(i).to_pylist() for i in range(3))):
                 ws = words(t)
                 rng = np.random.default_rng([abs(d or 0), len(ws)])
-                for _ in range(min(4, -(-len(ws) // span))):
+                for _ in range(min(chains, -(-len(ws) // span))):
                     i = int(rng.integers(0, max(1, len(ws) - span + 1)))
                     out.append((int(rng.integers(1 << 40)), lang, " ".join(ws[i : i + span])))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.int64(), pa.string(), pa.string()))], ["rank", "lang", "words"])
