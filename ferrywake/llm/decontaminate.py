@@ -7,9 +7,11 @@ until no run of `least` words is left. The marked share of the item's words is i
 found whole, in parts, or with their parts reordered all count. A document is contaminated if it covers
 at least `coverage` of some item.
 
-Documents are not exchanged. The benchmark is read in blocks of at most `block` words (one item of more
-words is a block of its own), and the documents pass every block in turn, so what is sent to the
-executors has a bound that does not depend on the tables.
+Documents are not exchanged. What is sent to the executors has a bound that does not depend on the tables: a
+benchmark of at most `block` words goes to them whole; a larger one goes in blocks of that size (one item of
+more words is a block of its own), one at a time, and what the documents share with each is stored and joined
+back by id and hash of the text. Seeds that many items hold are followed item by item, and runs of words that
+repeat in both texts diagonal by diagonal, so that no list of all pairs of places is built.
 
 Defined results: null and empty texts, of documents or items, match nothing; an item of fewer than
 `least` words must appear whole; items or documents that repeat each count; a null item_id takes part and
@@ -20,19 +22,23 @@ from __future__ import annotations
 
 import heapq
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import only, table
+from .common import fresh, only, slices, stash, table
 
 WORD = re.compile(r"\w+")
 LEAST = 5
 COVERAGE = 0.8
 BLOCK = 2_000_000
+#: Pairs of places listed at once.
+PAIRS = 2_000_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,18 +70,21 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int, at: np.ndarray | None =
     at = np.arange(len(theirs)) if at is None else at
     low, high = np.searchsorted(mine[order], theirs[at], "left"), np.searchsorted(mine[order], theirs[at], "right")
     n = high - low
-    d = np.repeat(at, n)
-    i = order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] if len(d) else d
-    for k in range(least):  # a hash is only a seed
-        same = item[i + k] == doc[d + k]
-        i, d = i[same], d[same]
-    if not len(i):
-        return []
-    by = np.lexsort((i, i - d))
-    i, d = i[by], d[by]
-    new = np.flatnonzero(np.append(True, (np.diff(i - d) != 0) | (np.diff(i) != 1)))
-    size = np.diff(np.append(new, len(i))) + least - 1
-    heap = [(-int(z), int(a), int(b)) for z, a, b in zip(size, i[new], d[new])]
+    if n.sum() > PAIRS:
+        heap = _by_diagonal(item, doc, least)
+    else:
+        d = np.repeat(at, n)
+        i = order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] if len(d) else d
+        for k in range(least):  # a hash is only a seed
+            same = item[i + k] == doc[d + k]
+            i, d = i[same], d[same]
+        if not len(i):
+            return []
+        by = np.lexsort((i, i - d))
+        i, d = i[by], d[by]
+        new = np.flatnonzero(np.append(True, (np.diff(i - d) != 0) | (np.diff(i) != 1)))
+        size = np.diff(np.append(new, len(i))) + least - 1
+        heap = [(-int(z), int(a), int(b)) for z, a, b in zip(size, i[new], d[new])]
     heapq.heapify(heap)
     in_item, in_doc, out = np.zeros(len(item), bool), np.zeros(len(doc), bool), []
     while heap:
@@ -92,6 +101,21 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int, at: np.ndarray | None =
     return out
 
 
+def _by_diagonal(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """The runs of `least` or more words that the two share: (-length, start in item, start in doc)."""
+    out = []
+    for shift in range(least - len(item), len(doc) - least + 1):
+        a, b = max(0, -shift), max(0, shift)
+        n = min(len(item) - a, len(doc) - b)
+        same = np.zeros(n + 2, np.int8)
+        same[1:-1] = item[a : a + n] == doc[b : b + n]
+        edge = np.flatnonzero(np.diff(same))
+        for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            if e - s >= least:
+                out.append((s - e, a + s, b + s))
+    return out
+
+
 class Block:
     """Some benchmark items, indexed by the hashes of their windows."""
 
@@ -126,21 +150,46 @@ class Block:
             hit = (low < len(h)) & (h[np.minimum(low, len(h) - 1)] == theirs[at])
             at, low = at[hit], low[hit]
             n = np.searchsorted(h, theirs[at], "right") - low
-            item = j[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] if len(at) else at
-            at = np.repeat(at, n)
             doc = np.searchsorted(start, at, "right") - 1
             inside = at + k <= start[doc + 1]
-            at, item, doc = at[inside], item[inside], doc[inside]
-            by = np.lexsort((at, item, doc))
-            at, item, doc = at[by], item[by], doc[by]
-            new = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(item) != 0))) if len(at) else at
-            for a, b in zip(new, np.append(new[1:], len(at))):
-                d, x = int(doc[a]), self.items[item[a]]
-                got = tiles(x, flat[start[d] : start[d + 1]], self.least, np.unique(at[a:b] - start[d]))
-                if got:
-                    out[d].append((self.ids[item[a]], sum(z for _, _, z in got) / len(x)))
+            at, low, n, doc = at[inside], low[inside], n[inside], doc[inside]
+            ends = np.append(np.flatnonzero(doc[1:] != doc[:-1]) + 1, len(doc)) if len(doc) else doc
+            sums = np.append(0, np.cumsum(n))
+            a = 0
+            while a < len(at):  # some documents at a time
+                b = ends[max(np.searchsorted(ends, a, "right"), np.searchsorted(sums[ends], sums[a] + PAIRS, "right") - 1)]
+                if sums[b] - sums[a] > PAIRS:
+                    met = self._one_by_one(k, theirs, at[a:b], low[a:b], n[a:b])
+                    pairs = ((int(doc[a]), j_, at_) for j_, at_ in met)
+                else:
+                    pairs = self._listed(j, at[a:b], low[a:b], n[a:b], doc[a:b])
+                for d, j_, at_ in pairs:
+                    x = self.items[j_]
+                    got = tiles(x, flat[start[d] : start[d + 1]], self.least, at_ - start[d])
+                    if got:
+                        out[d].append((self.ids[j_], sum(z for _, _, z in got) / len(x)))
+                a = b
         return out
 
+    def _listed(self, j: np.ndarray, at: np.ndarray, low: np.ndarray, n: np.ndarray, doc: np.ndarray):
+        """(document, item, places) of seeds, by way of a list of all pairs of seed and item."""
+        item = j[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        at, doc = np.repeat(at, n), np.repeat(doc, n)
+        by = np.lexsort((at, item, doc))
+        at, item, doc = at[by], item[by], doc[by]
+        new = np.flatnonzero(np.append(True, (np.diff(doc) != 0) | (np.diff(item) != 0)))
+        for a, b in zip(new, np.append(new[1:], len(at))):
+            yield int(doc[a]), int(item[a]), np.unique(at[a:b])
+
+    def _one_by_one(self, k: int, theirs: np.ndarray, at: np.ndarray, low: np.ndarray, n: np.ndarray):
+        """(item, places) of the seeds of one document, an item at a time."""
+        _, j = self.seeds[k]
+        met = np.zeros(len(self.items), bool)
+        for a, m in {(int(a), int(m)) for a, m in zip(low, n)}:
+            met[j[a : a + m]] = True
+        for item in np.flatnonzero(met).tolist():
+            yield item, at[np.isin(theirs[at], rolled(self.items[item], k))]
+
 
 def blocks(benchmark: DataFrame, least: int, block: int):
     """The benchmark in blocks of bounded size; one at a time is in the driver's memory."""
@@ -160,31 +209,48 @@ def blocks(benchmark: DataFrame, least: int, block: int):
 HITS = "array<struct<item_id:bigint,coverage:double>>"
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, block: int = BLOCK) -> DataFrame:
-    """docs with __hits: the benchmark items each document shares a run with, and how much of each it covers."""
-    df = docs.withColumn("__hits", F.array().cast(HITS))
-    schema = df.schema
-    sc = docs.sparkSession.sparkContext
+def _matched(docs: DataFrame, one: Block, hits: str) -> tuple[DataFrame, Broadcast]:
+    sent = docs.sparkSession.sparkContext.broadcast(one)
+    text, schema = docs.columns.index("text"), T.StructType([*docs.schema.fields, T.StructField(hits, T._parse_datatype_string(HITS))])
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64())]))
-    text, hits = schema.names.index("text"), len(schema.names) - 1
-    for one in blocks(benchmark, least, block):
-        sent = sc.broadcast(one)
 
-        def work(batches, sent=sent):
-            for b in batches:
-                old = b.column(hits).to_pylist()
-                got = sent.value.match(b.column(text).to_pylist())
-                new = [o + [{"item_id": i, "coverage": c} for i, c in g] for o, g in zip(old, got)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:hits], pa.array(new, kind)], schema.names)
+    def work(batches):
+        for b in slices(batches):
+            got = sent.value.match(b.column(text).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([[{"item_id": i, "coverage": c} for i, c in g] for g in got], kind)], schema.names)
+
+    return docs.mapInArrow(work, schema), sent
+
 
-        df = df.mapInArrow(work, schema)
-    return df
+def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, block: int = BLOCK, hits: str = "__hits") -> DataFrame:
+    """docs with a column of the name `hits`: the benchmark items each document shares a run with, and how much of each it
+    covers."""
+    if hits.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"a column of the name {hits} is there already")
+    todo = blocks(benchmark, least, block)
+    one, other = next(todo, None), next(todo, None)
+    if one is None:
+        return docs.withColumn(hits, F.array().cast(HITS))
+    if other is None:
+        return _matched(docs, one, hits)[0]
+    id_, th, got = fresh([*docs.columns, hits], "id_", "th_", "got_")
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias(id_), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias(th)]
+    found = None
+    for part in chain([one, other], todo):
+        rows, sent = _matched(docs.select(*key, "text"), part, hits)
+        now = stash(rows.where(F.size(hits) > 0).select(id_, th, hits)).groupBy(id_, th).agg(F.first(hits).alias(hits))  # equal rows share the same
+        sent.destroy()
+        found = now if found is None else found.union(now)
+    found = found.groupBy(id_, th).agg(F.flatten(F.collect_list(hits)).alias(got))
+    marked = docs.select("*", *key).join(found.hint("merge"), [id_, th], "left")
+    return marked.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(got, F.array().cast(HITS)).alias(hits))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, block: int = BLOCK) -> DataFrame:
     """The documents that cover no item up to the threshold, with their columns."""
-    found = overlaps(docs, benchmark, least)
-    return found.where(~F.exists("__hits", lambda h: h["coverage"] >= coverage)).drop("__hits")
+    (hits,) = fresh(docs.columns, "hits_")
+    found = overlaps(docs, benchmark, least, block, hits)
+    return found.where(~F.exists(hits, lambda h: h["coverage"] >= coverage)).drop(hits)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
