@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, table
+from .common import fresh, only, table
 
 
 @dataclass(frozen=True)
@@ -50,7 +50,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", 0.5, r"\b(ip|host|server|address|addr|login)\b"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9]){15,}+", "", 0.6, r"\b(card|visa|master|credit|tarjeta|carte|karte)\b"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, r"\b(phone|tel|call|mobile|fax|telefon)\b"),
-    Kind("iban", rf"(?<![A-Za-z0-9])(?:{IBAN})(?![A-Za-z0-9])", "", 0.8, r"\b(iban|account|konto|cuenta|compte|bank)\b"),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{IBAN})(?![A-Za-z0-9])", "", 0.8, r"\b(iban|account|konto|cuenta|compte|bank)\b"),
     Kind("secret", r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{32,}+(?![A-Za-z0-9_-])", "", 0.3, r"\b(token|secret|key|api|apikey|password|passwd)\b", 0.6),
 )
 BASE = KINDS[:4]
@@ -116,19 +116,18 @@ def _spans(number: int, kind: Kind, text: Column, pieces: Column, found: Column)
     return F.filter(spans, lambda s: s["score"] >= kind.least) if kind.least else spans
 
 
-def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with __spans: the confirmed spans of every kind, by kind and start."""
-    df = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
-    for k in KINDS:
-        pieces = F.split("__text", k.pattern, -1)
-        df = df.withColumn(f"__p_{k.name}", F.when(F.contains("__text", F.lit(k.needs)), pieces) if k.needs else pieces)
+def with_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
+    """docs with a column, whose name is returned too, of the confirmed spans of every kind, by kind and start."""
+    whole, spans, *names = fresh(docs.columns, "whole_", "spans_", *[f"{x}_{k.name}_" for k in KINDS for x in "ps"])
+    df = docs.withColumn(whole, F.coalesce(F.col(text), F.lit("")))
+    for k, p in zip(KINDS, names[::2]):
+        pieces = F.split(whole, k.pattern, -1)
+        df = df.withColumn(p, F.when(F.contains(whole, F.lit(k.needs)), pieces) if k.needs else pieces)
     none = F.array().cast(SPAN)
-    for i, k in enumerate(KINDS):
-        p = F.col(f"__p_{k.name}")
-        found = F.regexp_extract_all("__text", F.lit(k.pattern), F.lit(0))
-        df = df.withColumn(f"__s_{k.name}", F.when(F.size(p) > 1, _spans(i, k, F.col("__text"), p, found)).otherwise(none))
-    df = df.withColumn("__spans", F.concat(*[f"__s_{k.name}" for k in KINDS]))
-    return df.drop("__text", *[f"__{x}_{k.name}" for k in KINDS for x in "ps"])
+    for i, (k, p, s) in enumerate(zip(KINDS, names[::2], names[1::2])):
+        found = F.regexp_extract_all(whole, F.lit(k.pattern), F.lit(0))
+        df = df.withColumn(s, F.when(F.size(p) > 1, _spans(i, k, F.col(whole), F.col(p), found)).otherwise(none))
+    return df.withColumn(spans, F.concat(*names[1::2])).drop(whole, *names), spans
 
 
 def _joined(spans: Column) -> Column:
@@ -139,14 +138,15 @@ def _joined(spans: Column) -> Column:
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): the spans of each document as structs of kind, start, end (code points, exclusive) and score."""
     names = F.array(*[F.lit(k.name) for k in KINDS])
-    named = F.transform("__spans", lambda s: F.struct(F.element_at(names, s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score")))
-    return with_spans(only(docs, "doc_id", "text")).select("doc_id", named.alias("spans"))
+    df, spans = with_spans(only(docs, "doc_id", "text"))
+    named = F.transform(spans, lambda s: F.struct(F.element_at(names, s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score")))
+    return df.select("doc_id", named.alias("spans"))
 
 
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with each span of the text replaced by its kind in brackets; overlapping spans become one, named by the first."""
-    df = with_spans(docs, text)
-    ordered = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    df, spans = with_spans(docs, text)
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     names = F.array(*[F.lit(f"[{k.name.upper()}]") for k in KINDS])
     whole = F.col(text)
 
@@ -157,11 +157,11 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
 
     zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
     masked = F.aggregate(ordered, zero, step, lambda s: F.concat(F.array_join(s["out"], ""), whole.substr(s["at"] + 1, F.length(whole))))
-    return df.withColumn(text, F.when(F.size("__spans") > 0, masked).otherwise(whole)).drop("__spans")
+    return df.withColumn(text, F.when(F.size(spans) > 0, masked).otherwise(whole)).drop(spans)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = with_spans(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
-    base = F.filter("__spans", lambda s: s["kind"] < len(BASE))
-    counts = [F.size(F.filter("__spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k.name}") for i, k in enumerate(BASE)]
-    return df.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("__spans")).alias("spans"), F.transform("__spans", lambda s: s["score"]).alias("scores"))
+    df, spans = with_spans(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    base = F.filter(spans, lambda s: s["kind"] < len(BASE))
+    counts = [F.size(F.filter(spans, lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k.name}") for i, k in enumerate(BASE)]
+    return df.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col(spans)).alias("spans"), F.transform(spans, lambda s: s["score"]).alias("scores"))
