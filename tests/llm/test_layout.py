@@ -39,14 +39,19 @@ def test_sharding_small(make):
     assert sharding.shard(make([]), 40).count() == 0
     check_shards([(1, "a")], sharding.shard(make([(1, "a")]), 40).collect(), 40)
     same = [(7, "same row")] * 30
-    check_shards(same, sharding.shard(make(same), 4).collect(), 4)
+    assert max(abs(x - 180) for x in check_shards(same, sharding.shard(make(same), 4).collect(), 4).values()) <= 24
+    # a third of all bytes in rows that agree in text and (absent) id are parted as any others
+    rows = [(None, "one text, again and again")] * 300 + [(i, f"text {i} of its own") for i in range(300)]
+    sizes = check_shards(rows, sharding.shard(make(rows), 8).collect(), 8)
+    ideal = sum(sizes.values()) / 8
+    assert len(sizes) == 8 and max(abs(x - ideal) for x in sizes.values()) <= 2 * 41
 
 
 def test_cells_of_keys():
-    h, d = np.array([1, 1, 1, 2, 5, -3]), np.array([0, 4, 9, 0, 0, 0])
-    ph, pd = np.array([1, 1, 5]), np.array([0, 5, 0])
-    want = [sum((a, b) <= (x, y) for a, b in zip(ph.tolist(), pd.tolist())) for x, y in zip(h.tolist(), d.tolist())]
-    assert sharding._cells(h, d, ph, pd).tolist() == want
+    key = [np.array(x) for x in ([1, 1, 1, 1, 2, 5, -3, 1], [0, 4, 5, 5, 0, 0, 0, 9], [0, 0, 6, 7, 0, 0, 0, 0])]
+    probes = [np.array(x) for x in ([1, 1, 1, 5], [0, 5, 5, 0], [0, 0, 7, 0])]
+    want = [sum(p <= k for p in zip(*(x.tolist() for x in probes))) for k in zip(*(x.tolist() for x in key))]
+    assert sharding._cells(key, probes).tolist() == want
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000, 4097])

@@ -52,6 +52,12 @@ def test_pii_mask(make):
     assert got[1] == "mail [EMAIL], card [CARD]." and got[2] is None and got[3] == "clean" and "[" in got[4] and pii.mask(df).columns == df.columns
 
 
+def test_pii_keeps_columns_of_any_name(make):
+    df = make([(1, "mail a@b.co"), (2, None)]).selectExpr("*", "1 AS `__text`", "2 AS `__spans`", "3 AS whole_", "4 AS spans_", "5 AS p_email_", "6 AS S_IP_")
+    got = pii.mask(df)
+    assert got.columns == df.columns and [tuple(r)[-6:] for r in got.collect()] == [(1, 2, 3, 4, 5, 6)] * 2 and {r.text for r in got.collect()} == {"mail [EMAIL]", None}
+
+
 def test_pii_iban_before_other_words(make):
     texts = {
         1: ("pay DE89370400440532013000 BIC COBADEFFXXX", 4, 26), 2: ("DE89370400440532013000 Please", 0, 22), 3: ("DE89370400440532013000 2024 due", 0, 22), 4: ("GB82 WEST 1234 5698 7654 32 I think", 0, 27),
@@ -96,6 +102,99 @@ def test_main_text():
     assert f("<div>" * 3000 + "deep") == "deep" and f("<a " * 20_000).startswith("<a")
 
 
+def brute_core(root):
+    """The core by its definition: every node's counts anew, from all that is below it."""
+    import math
+
+    def below(x):
+        for y in x.parts:
+            if isinstance(y, str):
+                yield x, y
+            elif not y.bad:
+                yield x, y
+                yield from below(y)
+
+    def links_of(x):
+        chars, tags = 0, 0
+        for y in x.parts:
+            if isinstance(y, html_text.Node) and not y.bad:
+                c, t = links_of(y)
+                chars, tags = chars + (count(y)[0] if y.name == "a" else c), tags + t + (y.name == "a")
+        return (count(x)[0] if x.name == "a" else chars), tags
+
+    def count(x):
+        got = list(below(x))
+        return sum(len(y.strip()) for _, y in got if isinstance(y, str)), sum(1 for _, y in got if not isinstance(y, str))
+
+    nodes = [root] + [y for _, y in below(root) if not isinstance(y, str)]
+    body = next((x for x in nodes if x.name == "body"), root)
+    ratio = links_of(body)[0] / max(1, count(body)[0])
+
+    def density(x):
+        (c, t), (lc, lt) = count(x), links_of(x)
+        if not c:
+            return 0.0
+        base = math.log(c / max(1, c - lc) * lc + ratio * c + math.e)
+        return max(0.0, c / max(1, t) * math.log(max(1.0, c / max(1, lc) * max(1, t) / max(1, lt))) / math.log(base)) if base > 1 else c / max(1, t)
+
+    def blocky(x):
+        return x.name in html_text.BLOCK or any(blocky(y) for y in x.parts if isinstance(y, html_text.Node) and not y.bad)
+
+    sums = [sum(density(y) for y in x.parts if isinstance(y, html_text.Node) and not y.bad and blocky(y)) for x in nodes]
+    best = nodes[sums.index(max(sums))] if max(sums) else body
+    path, up = [density(best)], best
+    while up is not None and up is not body.parent:
+        path.append(density(up))
+        up = up.parent
+    return best, min(path)
+
+
+def test_density_against_brute_force():
+    import random
+
+    r = random.Random(8)
+
+    def piece(depth):
+        kind = r.choice(["p", "div", "a", "b", "ul", "li", "section", "span", "nav", "h2"])
+        inner = "".join(r.choice(["some words ", "x ", "a longer run of words and more of them. "]) if r.random() < 0.5 or not depth else piece(depth - 1) for _ in range(r.randrange(4)))
+        return f"<{kind}>{inner}" + (f"</{kind}>" if r.random() < 0.8 else "")
+
+    for _ in range(120):
+        root = html_text.parse("<body>" + "".join(piece(4) for _ in range(4)) + "</body>")
+        want = brute_core(root)
+        got = html_text.core(root)
+        assert got[0] is want[0] and got[1] == pytest.approx(want[1])
+
+
+def test_main_text_without_marks():
+    import os
+
+    import pyarrow.parquet as pq
+
+    f, long = html_text.main_text, "words of the text " * 16
+    sections = [f"<section><h2>Part {i}</h2><p>{long}{i}</p><p>{long}</p></section>" for i in range(2)]
+    want = "\n".join(f"Part {i}\n{long}{i}\n{long.strip()}" for i in range(2))
+    for tag in ("article", "main", "div"):
+        assert f(f"<body><nav>menu</nav><{tag}>{''.join(sections)}</{tag}><footer>f</footer></body>") == f(f"<body><{tag}>{''.join(sections)}</{tag}></body>") == want
+    assert f(f"<body>{''.join(sections)}</body>") == want
+    assert f(f"<article><header><h1>Title</h1></header><div class=article-header>By line</div><p>{long}</p><label>kept</label></article><header>Site</header>") == f"Title\nBy line\n{long.strip()}\nkept"
+    menu = "<div><ul>" + "<li><a href=x>link</a></li>" * 9 + "</ul></div>"
+    assert f(f"<body>{menu}<div><p>{long}</p><p>{long}</p></div>{menu}</body>") == f"{long.strip()}\n{long.strip()}"
+    assert f(f"<article><p>{long}</p>{menu}</article>").count("link") == 9  # a list of references of the article
+    path = "/root/testdata/sf0.01/pages.parquet"
+    for page in pq.read_table(path)["html"].to_pylist() if os.path.exists(path) else []:
+        assert f(page) == f(re.sub(r"<(/?)(article|main)\b", r"<\1div", page or ""))
+
+
+@pytest.mark.parametrize("page", ["<b>" * 9000 + "</i>" * 9000, "<i><div>" + "<b>" * 9000 + "</i>" * 9000, "<div>" + "<b>" * 9000 + "<p>x" * 9000, "<ul>" + "<li><ul>" * 9000 + "<li>x" * 9000])
+def test_long_pages_in_linear_time(page):
+    import time
+
+    start = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - start < 3
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", "<p>x", 1), (None, None, None, None), (1, "u", "<p>x", 2)], "page_id long, url string, html string, text int")
     assert Counter(tuple(r) for r in html_text.extract(df).collect()) == {(1, "u", "x"): 2, (None, None, ""): 1}
@@ -139,10 +238,38 @@ def test_tiling_against_brute_force(spark, make, prose, block):
                 want[i if i != 5 else None] = n / len(t)
         if len(d) < 500:
             assert {h.item_id: h.coverage for h in r["__hits"]} == pytest.approx(want), r.doc_id
-    kept = decontaminate.clean(make(list(enumerate(docs))), bench)
+    kept = decontaminate.clean(make(list(enumerate(docs))), bench, block=block)
     ids = {r.doc_id for r in kept.collect()}
     assert ids >= {0, 1, 2, 6, 9} and not ids & {3, 4, 5, 7, 8} and kept.columns == make([]).columns
     assert decontaminate.overlaps(make([(1, "a")]), bench.limit(0)).first()["__hits"] == []
+    named = make(list(enumerate(docs))).selectExpr("*", "1 AS hits_", "2 AS `__hits`", "3 AS id_", "4 AS th_", "5 AS got_")
+    kept = decontaminate.clean(named, bench, block=block)
+    assert {r.doc_id for r in kept.collect()} == ids and kept.columns == named.columns
+
+
+def test_tiles_of_repeated_words(monkeypatch):
+    import random
+
+    import numpy as np
+
+    r = random.Random(5)
+    cases = [([r.randrange(k) for _ in range(r.randrange(1, 30))], [r.randrange(k) for _ in range(r.randrange(1, 40))], least) for k in (1, 2, 3) for least in (1, 2, 5) for _ in range(12)]
+    for pairs in (decontaminate.PAIRS, 0):
+        monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+        for item, doc, least in cases:
+            assert sum(z for _, _, z in decontaminate.tiles(np.array(item), np.array(doc), least)) == brute_tiles(item, doc, least)
+    monkeypatch.undo()
+    assert decontaminate.tiles(np.zeros(3000, np.int64), np.zeros(3000, np.int64), 5) == [(0, 0, 3000)]
+
+
+def test_seeds_that_all_items_hold(monkeypatch, prose):
+    items = [(i, decontaminate.words(f"which of the following is true {prose(i, 9)}")) for i in range(30)]
+    texts = [f"{prose(100 + i, 20)} which of the following is true {' '.join(items[i][1][3:])}" for i in range(8)] + [None, ""]
+    whole = [sorted(x) for x in decontaminate.Block(items, 5).match(texts)]
+    assert all(len(x) == 30 for x in whole[:8])
+    for pairs in (40, 1):
+        monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+        assert [sorted(x) for x in decontaminate.Block(items, 5).match(texts)] == whole
 
 
 def test_marginals_against_enumeration():
@@ -161,20 +288,59 @@ def test_marginals_against_enumeration():
     assert np.allclose(language.marginals(scores, first, step, begin), want)
 
 
+def test_gradients_against_differences():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    parts = [rng.normal(size=(6, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)]
+    first = np.array([1, 0, 0, 1, 0, 0], bool)
+
+    def log_sum(scores, step, begin):
+        return np.log(sum(np.exp(sum(scores[i, y[i]] + (begin[y[i]] if first[i] else step[y[i - 1], y[i]]) for i in range(6))) for y in itertools.product(range(3), repeat=6)))
+
+    got = language.expected(parts[0], first, parts[1], parts[2])
+    for x, g in zip(parts, got):
+        for at in np.ndindex(x.shape):
+            old, ends = x[at], []
+            for d in (1e-5, -1e-5):
+                x[at] = old + d
+                ends.append(log_sum(*parts))
+            x[at] = old
+            assert abs((ends[0] - ends[1]) / 2e-5 - g[at]) < 1e-6
+
+
+def test_learned_transitions():
+    import numpy as np
+
+    spans = [("ab"[i % 2], [f"{'ab'[i % 2]}{j}" for j in range(12)]) for i in range(200)]
+    model = language.fit(spans)
+    assert model.step[0, 0] > model.step[0, 1] and model.step[1, 1] > model.step[1, 0]
+    begin = language.fit(spans + [("a", ["x"])] * 400).begin
+    assert begin[0] > begin[1] and abs(begin.sum()) < 1e-9 and np.isfinite(begin).all()
+
+
+def test_words():
+    w = language.words
+    assert w("One two2three") == ["one", "two", "three"] and w("½ ² Ⅷ 123 _") == [] and w(None) == w("") == []
+    assert w("नमस्ते दुनिया") == ["नमस्ते", "दुनिया"] and w("e\u0301te\u0301 x½y") == ["e\u0301te\u0301", "x", "y"] and w("\u0301 été") == ["été"] and w("𐐀𐐁 漢字") == ["𐐨𐐩", "漢字"]
+
+
 def test_language(spark, make):
     import random
 
     r = random.Random(3)
     vocab = {"en": "the of and thing with that from ing".split(), "de": "der die und ich nicht schön ung über".split(), "fr": "le la que été ç'est dans une très".split()}
     rows = [(i, " ".join(r.choice(vocab[k]) for _ in range(30)), k) for i, k in enumerate(r.choice(list(vocab)) for _ in range(240))]
-    rows += [(900, None, "en"), (901, "", None), (902, "123 !!", "de"), (None, "the of and the thing", None), (903, "DER!! DIE!! UND!! | ICH", None), (904, "the " * 60_000, None)]
+    rows += [(900, None, "en"), (901, "", None), (902, "123 !!", "de"), (None, "the of and the thing", None), (903, "DER!! DIE!! UND!! | ICH", None), (905, "½ ² Ⅷ", "fr"), (904, "the " * 60_000, None)]
     docs = make(rows)
     model = language.train(docs)
     out = language.label(docs, model, ("lang_pred", "lang_score"))
     got = {x.doc_id: x for x in out.collect()}
     assert out.columns == [*docs.columns, "lang_pred", "lang_score"]
     assert sum(got[d].lang_pred == k for d, _, k in rows[:240]) >= 235
-    assert all(got[d].lang_pred == "und" and got[d].lang_score == 0 for d in (900, 901, 902)) and got[903].lang_pred == "de" and got[904].lang_pred == "en" and got[None].lang_pred == "en"
+    assert all(got[d].lang_pred == "und" and got[d].lang_score == 0 for d in (900, 901, 902, 905)) and got[903].lang_pred == "de" and got[904].lang_pred == "en" and got[None].lang_pred == "en"
     assert all(0 <= x.lang_score <= 1 for x in got.values())
     assert {x.lang_pred for x in language.label(docs, language.train(docs.where("lang IS NULL")), ("lang_pred", "lang_score")).collect()} == {"und"}
     assert language.label(make([]), model, ("lang_pred", "lang_score")).count() == 0
