@@ -1,8 +1,9 @@
 """Token ids in training order: a keyed permutation gives every sequence a global slot.
 
 Texts become token ids (byte-level BPE ranks from a file, or plain bytes) with an end mark, cut into
-sequences of a fixed length. They are numbered without gaps: each task numbers its own, and the counts of
-the tasks (one number each) give the offsets. A Feistel network on the smallest even number of bits that
+sequences of a fixed length. They are numbered without gaps in the order of the files and of the rows in each,
+whatever the splits and tasks: a part of a file numbers its own sequences, and the counts of the parts (one
+number each) give the offsets. A Feistel network on the smallest even number of bits that
 holds all numbers, walked until it lands among them, permutes the numbers under a key: no sort by a
 random key, no table of the order, and the slot of any number can be recomputed. Rows are exchanged once,
 by shard; each shard is a run of fixed-stride records in slot order, so a reader can seek to any slot and
@@ -13,8 +14,8 @@ the tokens 0. A shard holds `per_shard` records, the last one fewer.
 
 Defined results: a null or empty text is one sequence that holds the end mark alone; a null doc_id is
 stored as the least int64 and read back as null; rows that repeat are sequences of their own; an empty
-table gives no shard. The order depends on the key, the rows and how the tasks read them, and is fixed
-once the token table is written; every order is a permutation of the same records.
+table gives no shard. The order depends on the key and the files alone, so that shards built again are the same
+and reading can be resumed over them; rows that come from no file are written to one first.
 """
 
 from __future__ import annotations
@@ -27,16 +28,17 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, partitions, stash, table, texts_of
+from .common import only, partitions, slices, stash, table, texts_of
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LENGTH = 512
 PER_SHARD = 4096
-#: Tasks of the reading stage up to which their offsets are broadcast.
-TASKS = 1_000_000
+#: Parts of files up to which their offsets are broadcast.
+PARTS = 1_000_000
 HEAD = np.dtype([("doc_id", "<i8"), ("chunk", "<i4"), ("tokens", "<i4")])
 NO_ID = -(1 << 63)
 ROUNDS = 6
@@ -100,9 +102,9 @@ def encoder(ranks: str | None):
         assert end < 1 << 16, "ids must fit 16 bits"
 
         def encode(b: bytes) -> np.ndarray:
-            # pieces of a long line without spaces would be merged in quadratic time: whole words stay whole, longer runs are cut
+            # one call merges a whole run of letters in quadratic time; a text goes in parts that end where a piece ends anyway
             text = b.decode("utf-8", "replace")
-            ids = own.encode_ordinary(text) if len(text) < 100_000 else [i for part in _parts(text) for i in own.encode_ordinary(part)]
+            ids = [i for part in _parts(text) for i in own.encode_ordinary(part)]
             ids.append(end)
             return np.array(ids, np.uint16)
 
@@ -127,22 +129,33 @@ def _parts(text: str, size: int = 50_000):
         at = end
 
 
+def _in_files(docs: DataFrame) -> DataFrame:
+    """(file, at, doc_id, text): with the file of each row and where the part of it that a task reads begins."""
+    try:
+        where = docs.metadataColumn("_metadata")
+        return docs.select(where["file_path"].alias("file"), where["file_block_start"].alias("at"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    except AnalysisException:  # not read from files
+        return _in_files(stash(only(docs, "doc_id", "text")))
+
+
 def tokenised(docs: DataFrame, ranks: str | None, length: int) -> DataFrame:
-    """(part, first, doc_id, n, ids): ids as bytes; first: sequences of the task before this row."""
+    """(file, at, first, doc_id, n, ids): ids as bytes; first: sequences of this part of the file before this row."""
 
     def work(batches):
-        encode, part, first = encoder(ranks), TaskContext.get().partitionId(), 0
-        for b in batches:
-            ids = [encode(t) for t in texts_of(b.column(1))]
+        encode, part, first = encoder(ranks), None, 0
+        for b in slices(batches):
+            ids = [encode(t) for t in texts_of(b.column(3))]
             n = np.fromiter(map(len, ids), np.int64, len(ids))
-            seqs = -(-n // length)
-            starts = first + np.cumsum(seqs) - seqs
-            first += int(seqs.sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(ids), part)), pa.array(starts), b.column(0), pa.array(n), pa.array([x.tobytes() for x in ids], pa.binary())], ["part", "first", "doc_id", "n", "ids"]
-            )
+            starts = np.empty(len(ids), np.int64)
+            parts = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            for i, (p, seqs) in enumerate(zip(parts, (-(-n // length)).tolist())):
+                if p != part:
+                    part, first = p, 0
+                starts[i] = first
+                first += seqs
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(starts), b.column(2), pa.array(n), pa.array([x.tobytes() for x in ids], pa.binary())], ["file", "at", "first", "doc_id", "n", "ids"])
 
-    return only(docs, "doc_id", "text").mapInArrow(work, "part long, first long, doc_id long, n long, ids binary")
+    return _in_files(docs).mapInArrow(work, "file string, at long, first long, doc_id long, n long, ids binary")
 
 
 def shards(docs: DataFrame, key: int = 1, ranks: str | None = None, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
@@ -150,25 +163,24 @@ def shards(docs: DataFrame, key: int = 1, ranks: str | None = None, length: int
     spark = docs.sparkSession
     tokens = stash(tokenised(docs, ranks, length))
     seqs = F.ceil(F.col("n") / length).cast("long")
-    counts = tokens.groupBy("part").agg(F.sum(seqs)).orderBy("part").collect()  # one number for each task that read the texts
-    base = np.append(0, np.cumsum([n for _, n in counts])).astype(np.int64)
+    counts = tokens.groupBy("file", "at").agg(F.sum(seqs)).orderBy("file", "at").collect()  # one number for each part of a file
+    base = np.append(0, np.cumsum([n for _, _, n in counts])).astype(np.int64)
     total = int(base[-1])
     order, kind = Feistel(max(total, 1), key), record(length)
-    if len(counts) <= TASKS:  # two numbers for each task that read the texts: at most 16 MB
-        sent = spark.sparkContext.broadcast((np.array([p for p, _ in counts], np.int64), base))
-        placed = tokens.select("first", "doc_id", "n", "ids", "part")
+    sent = None
+    if len(counts) <= PARTS:  # a number and a name for each part
+        sent = spark.sparkContext.broadcast({(f, a): int(x) for (f, a, _), x in zip(counts, base)})
+        placed = tokens.select("first", "doc_id", "n", "ids", "file", "at")
     else:
-        sent = None
-        starts = spark.createDataFrame([(p, int(x)) for (p, _), x in zip(counts, base)], "part long, base long")
-        placed = tokens.join(starts, "part").select((F.col("base") + F.col("first")).alias("first"), "doc_id", "n", "ids", "part")
+        starts = spark.createDataFrame([(f, a, int(x)) for (f, a, _), x in zip(counts, base)], "file string, at long, base long")
+        placed = tokens.join(starts, ["file", "at"]).select((F.col("base") + F.col("first")).alias("first"), "doc_id", "n", "ids")
 
     def records(batches):
-        for b in batches:
+        for b in slices(batches):
             first, docs_, n = (b.column(i) for i in range(3))
             first, n = first.to_numpy(), n.to_numpy()
             if sent is not None:
-                parts, starts_ = sent.value
-                first = first + starts_[np.searchsorted(parts, b.column(4).to_numpy())]
+                first = first + np.fromiter(map(sent.value.__getitem__, zip(b.column(4).to_pylist(), b.column(5).to_pylist())), np.int64, len(first))
             ids = [np.frombuffer(x, "<u2") for x in b.column(3).to_pylist()]
             docs_ = docs_.fill_null(NO_ID).to_numpy(zero_copy_only=False)
             for i in range(0, len(ids), 256):  # a few rows at a time
