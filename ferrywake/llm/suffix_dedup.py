@@ -9,7 +9,7 @@ derives the common prefixes by increasing value until the minimum length; the bo
 then are the strings that repeat. No window is skipped and no group is cut short.
 
 Anchors that hold many segments are found by a bounded sketch in each task. They are counted by segment
-with partial sums, and joined back by joins that adaptive execution splits. Should one anchor have over
+with partial sums, and joined back by salted keys. Should one anchor have over
 `bucket` differing segments, its windows are counted by their digests instead of being held together.
 
 Defined results: a null text is empty; matches never cross documents; a text of fewer than `length` bytes
@@ -93,6 +93,8 @@ AT_ONCE = 4_000_000
 BUCKET = 12_000
 CHUNK = 1_500_000
 SKETCH = 4096
+#: Tasks that the rows of one heavy segment are dealt to.
+SALTS = 32
 NO_ID = -(1 << 63)
 ROW = "key long, ctx long, doc_id long, thash long, pos long"
 
@@ -379,7 +381,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET) -> tupl
         hot = segs.join(keys, "key", "left_semi")
         met = stash(hot.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "thash", "pos")).alias("rep")))
         differ = F.broadcast(met.groupBy("key").agg(F.count("*").alias("d")).where("d > 1").select("key"))  # no more rows than heavy keys
-        full = hot.join(met.where("n > 1").select("key", "ctx").hint("merge"), ["key", "ctx"], "left_semi").select(F.lit(0).alias("kind"), *segs.columns)
+        # a passage that a third of all rows hold is one key and ctx: its rows are dealt to several tasks, and what repeats is sent to each
+        dealt = hot.withColumn("salt", F.pmod(F.xxhash64("doc_id", "thash", "pos"), F.lit(SALTS)).cast("int"))
+        often_met = met.where("n > 1").select("key", "ctx", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        full = dealt.join(often_met.hint("merge"), ["key", "ctx", "salt"], "left_semi").select(F.lit(0).alias("kind"), *segs.columns)
         reps = met.join(differ, "key", "left_semi").select(F.when(F.col("n") > 1, 2).otherwise(1).alias("kind"), "key", "ctx", "rep.doc_id", "rep.thash", "rep.pos")
         settled = settled.union(full).union(reps)
     settled = stash(settled)
