@@ -1,12 +1,14 @@
 """Embedding near-dedup: exact threshold pairs by dual traversal of cover trees.
 
-Unit vectors are compared by their distance, sqrt(2 - 2 cosine). Equal vectors are one class with a
-weight. Classes are dealt to cells around pivots (a hashed sample of bounded number; no row is left out);
+Unit vectors are compared by their distance, sqrt(2 - 2 cosine). Equal vectors (by a digest of 128 bits) are one
+class with a weight. Classes are dealt to cells around pivots (a hashed sample of bounded number; no row is left out);
 a cell of over `unit` classes is cut into units of the same centre. Each unit holds its own classes in a
 cover tree of nested levels with halving radii and streams the classes of other units past it, a batch
 and its own tree at a time: pairs of nodes whose centres lie further apart than both covering radii and
 the threshold are pruned, pairs that lie within it whatever their points are linked at once, and the rest
-are opened until single vectors remain, for which the cosine decides. A class visits a unit only if the
+are opened until single vectors remain, for which the cosine decides. The levels are nested from radius 1/2 down:
+no pair of nodes of radius 1 or 2 is ever pruned, as unit vectors lie no further than 2 apart, so the root's
+children are met at once and by matrix products. A class visits a unit only if the
 covering radius and the plane between the two centres allow a link; each pair of units meets once.
 
 A link of a dense group is never written out by pairs: counts are added by ranges of the tree, and a
@@ -25,11 +27,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, partitions, stash, table
-from .graph import components, contract, local_roots
+from .common import only, partitions, slices, stash, table
+from .graph import components, contract, local_roots, with_least
 
 SLACK = 1e-9
 #: Least radius of a node of several points: the distance of nearly equal vectors is measured no finer than this.
@@ -37,7 +40,7 @@ FINEST = 1e-7
 #: More than single precision can be off in a cosine of unit vectors.
 COARSE = np.float32(1e-4)
 UNIT = 16384
-PIVOTS = 512
+PIVOTS = 4096
 BATCH = 4096
 #: Pairs of nodes whose distance is measured at once.
 PAIRS = 32_768
@@ -269,14 +272,15 @@ def _unit(row) -> np.ndarray | None:
 
 
 def units(rows: DataFrame) -> DataFrame:
-    """(vec_id, unit): the unit vector as bytes, null where the vector can't link."""
+    """(vec_id, unit, d1, d2): the unit vector as bytes, null where the vector can't link, and its digest of 128 bits."""
 
     def work(batches):
         for b in batches:
-            out = [_unit(v) for v in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if v is None else v.tobytes() for v in out], pa.binary())], ["vec_id", "unit"])
+            out = [None if (v := _unit(x)) is None else v.tobytes() for x in b.column(1).to_pylist()]
+            digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(v or b"") for v in out), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), *(pa.array(digest[:, i].copy()) for i in (0, 1))], ["vec_id", "unit", "d1", "d2"])
 
-    return only(rows, "vec_id", "embedding").mapInArrow(work, "vec_id long, unit binary")
+    return only(rows, "vec_id", "embedding").mapInArrow(work, "vec_id long, unit binary, d1 long, d2 long")
 
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
@@ -290,7 +294,7 @@ def _links_of_size(classes: DataFrame, n: int, size: int, cosine: float, unit: i
     centres = _matrix(pa.array([bytes(r.unit) for r in classes.orderBy(F.xxhash64("id")).select("unit").limit(want).collect()]), size)
 
     def near(batches):
-        for b in batches:
+        for b in slices(batches):
             if b.num_rows:
                 d = _far(_matrix(b.column(2), size), centres)
                 cell = d.argmin(axis=1)
@@ -310,7 +314,7 @@ def _links_of_size(classes: DataFrame, n: int, size: int, cosine: float, unit: i
     between = _far(centres, centres)
 
     def deal(batches):
-        for b in batches:
+        for b in slices(batches):
             if not b.num_rows:
                 continue
             x = _matrix(b.column(2), size)
@@ -404,8 +408,8 @@ def near_links(rows: DataFrame, cosine: float = 0.9, unit: int = UNIT, pivots: i
     """(vec_id, n_links, component_id) for each vector of rows (vec_id, embedding)."""
     all_ = stash(units(rows))
     # a class is named by a number of its own, so that null ids do no harm
-    named = all_.where("unit is not null").groupBy("unit").agg(F.count("*").alias("w"), F.min("vec_id").alias("rep"))
-    classes = stash(named.select(F.monotonically_increasing_id().alias("id"), "w", "rep", "unit", (F.octet_length("unit") / 8).cast("int").alias("size")))
+    named = all_.where("unit is not null").groupBy("d1", "d2").agg(F.count("*").alias("w"), F.min("vec_id").alias("rep"), F.first("unit").alias("unit"))
+    classes = stash(named.select(F.monotonically_increasing_id().alias("id"), "w", "rep", "unit", "d1", "d2", (F.octet_length("unit") / 8).cast("int").alias("size")))
     parts = [
         _links_of_size(classes.where(F.col("size") == s.size).select("id", "w", "unit"), s.n, s.size, cosine, unit, pivots)
         for s in classes.groupBy("size").agg(F.count("*").alias("n")).collect()  # a row for each length of vectors
@@ -419,10 +423,9 @@ def near_links(rows: DataFrame, cosine: float = 0.9, unit: int = UNIT, pivots: i
     counts = met.where("other is null").groupBy("id").agg(F.sum("n").alias("n"))
     reach = components(met.where("other is not null").select("id", "other"))
     member = classes.join(reach.withColumnRenamed("node", "id").hint("merge"), "id", "left").join(counts.hint("merge"), "id", "left")
-    member = stash(member.select("unit", "w", "rep", F.coalesce("root", "id").alias("root"), F.coalesce("n", F.lit(0)).alias("n")))
-    ids = member.groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = member.join(ids.hint("merge"), "root").select("unit", (F.col("n") + F.col("w") - 1).alias("n_links"), "component_id")
-    linked = all_.where("unit is not null").join(known.hint("merge"), "unit").select("vec_id", "n_links", F.when(F.col("vec_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    member = stash(member.select("d1", "d2", "w", "rep", F.coalesce("root", "id").alias("root"), F.coalesce("n", F.lit(0)).alias("n")))
+    known = with_least(member).select("d1", "d2", (F.col("n") + F.col("w") - 1).alias("n_links"), "component_id")
+    linked = all_.where("unit is not null").select("vec_id", "d1", "d2").join(known.hint("merge"), ["d1", "d2"]).select("vec_id", "n_links", F.when(F.col("vec_id").isNotNull(), F.col("component_id")).alias("component_id"))
     return linked.union(all_.where("unit is null").select("vec_id", F.lit(0).cast("long"), "vec_id"))
 
 

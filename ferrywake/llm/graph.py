@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import stash
 
 CHUNK = 1_000_000
+#: Tasks that the members of one large component are dealt to.
+SALTS = 16
 
 
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -78,3 +80,14 @@ def components(links: DataFrame) -> DataFrame:
         least = stash(edges.groupBy("a").agg(F.min("b").alias("m")))
         moved = edges.join(least.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = stash(moved.union(least.select("a", F.col("m").alias("b"))).distinct())
+
+
+def with_least(member: DataFrame) -> DataFrame:
+    """member (root, rep, ..) with component_id, the least rep of the rows of each root. Only roots of several rows are
+    joined back, and those of a hot one are dealt to several tasks."""
+    ids = member.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    ids = ids.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rest = [c for c in member.columns if c != "root"]
+    salted = member.withColumn("salt", F.pmod(F.xxhash64(*rest), F.lit(SALTS)).cast("int"))
+    least = F.coalesce("component_id", "rep").alias("component_id")
+    return salted.join(ids.hint("merge"), ["root", "salt"], "left").select(*member.columns, least)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, only, partitions, runs, slices, stash, table, texts_of
-from .graph import components, local_roots
+from .graph import components, local_roots, with_least
 
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
@@ -202,9 +202,7 @@ def near_components(docs: DataFrame, shingle: int = 4, bits: int = 4, blocks: in
     classes = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     reach = components(near_links(classes.select("fp"), bits, blocks, bucket))
     member = classes.join(reach.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    member = stash(member)
-    ids = member.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = member.join(ids.hint("merge"), "root").select("fp", "component_id")
+    named = with_least(stash(member)).select("fp", "component_id")
     return fps.join(named.hint("merge"), "fp").select("doc_id", "thash", "fp", "component_id")
 
 
@@ -419,9 +417,8 @@ def similar_components(docs: DataFrame, shingle: int, least: float, bands: int,
     one = F.struct("thash", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
     classes = stash(found.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(one).alias("one"), F.min("keys").alias("keys")))
     reach = components(similar_links(docs, classes.select("node", "one", "keys"), shingle, least, most, block))
-    member = stash(classes.select("node", "rep").join(reach.hint("merge"), "node", "left").select("node", "rep", F.coalesce("root", "node").alias("to")))
-    ids = member.groupBy("to").agg(F.min("rep").alias("component_id"))
-    named = member.join(ids.hint("merge"), "to").select("node", "component_id")
+    member = stash(classes.select("node", "rep").join(reach.hint("merge"), "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root")))
+    named = with_least(member).select("node", "component_id")
     return found.select("doc_id", "thash", "node").join(named.hint("merge"), "node").select("doc_id", "thash", "component_id")
 
 
