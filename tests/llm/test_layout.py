@@ -87,6 +87,21 @@ def test_training_order_round_trip(spark, make, prose, tmp_path):
     assert training_order.shards(make([]), **kw).count() == 0
 
 
+def test_training_order_does_not_depend_on_splits(spark, make, prose, tmp_path):
+    rows = [(i % 50 if i % 7 else None, prose(i, 3 + i * 7 % 80)) for i in range(400)]
+    make(rows).repartition(3).write.option("parquet.block.size", 4096).parquet(f"file://{tmp_path}/docs")
+    old, got = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    try:
+        for size, n in (("128MB", None), ("3KB", None), ("20KB", 4)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            docs = spark.read.parquet(f"file://{tmp_path}/docs")
+            docs = docs.withColumn("_metadata", docs.doc_id) if n else docs
+            got.append({r.first_slot: (r.n, bytes(r.payload)) for r in training_order.shards(docs, key=5, length=64, per_shard=16).collect()})
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got[0] == got[1] == got[2] and sum(n for n, _ in got[0].values()) > 400
+
+
 def test_token_ids_of_long_lines():
     enc = training_order.encoder(training_order.RANKS)
     for text in ("the quick brown fox " * 8000, "word\n" * 30_000):
