@@ -84,9 +84,36 @@ def merged(samples: DataFrame) -> DataFrame:
 def increasing(samples: DataFrame) -> DataFrame:
     """As merged(), for files whose times step back: a point is kept only if its time exceeds all before it in its block
     order, as a sequential merge of the files would."""
-    order = Window.partitionBy("path", "file_id").orderBy("block_start", "block_ordinal", "point_idx").rowsBetween(Window.unboundedPreceding, -1)
-    seen = samples.withColumn("__seen", F.max("ts_ms").over(order))
-    return merged(seen.where("__seen IS NULL OR ts_ms > __seen").drop("__seen"))
+    rows = samples.withColumn("__part", part_of("block_start"))
+    order = Window.partitionBy("path", "file_id", "__part").orderBy("block_start", "block_ordinal", "point_idx").rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy("path", "file_id", "__part").agg(F.max("ts_ms").alias("__top"))
+    earlier = Window.partitionBy("path", "file_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("path", "file_id", "__part", F.max("__top").over(earlier).alias("__before"))
+    seen = rows.withColumn("__inside", F.max("ts_ms").over(order)).join(tops, ["path", "file_id", "__part"])
+    seen = seen.withColumn("__seen", F.greatest("__inside", "__before"))
+    return merged(seen.where("__seen IS NULL OR ts_ms > __seen").select(*samples.columns))
+
+
+#: A path is cut into ranges of this length, so that a busy one is not one task.
+RANGE_MS = 24 * 3_600_000
+
+
+def part_of(time: str) -> Column:
+    return F.floor(F.col(time) / RANGE_MS)
+
+
+def with_previous(series: DataFrame) -> DataFrame:
+    """series with the time and value of the point before (prev_ms, prev_value) and the place of each in its path from 1.
+
+    Within ranges of time by a window; across them by the last point of each range, of which there are few."""
+    rows = series.select("path", "ts_ms", "value", part_of("ts_ms").alias("__part"))
+    inside = Window.partitionBy("path", "__part").orderBy("ts_ms")
+    ends = rows.groupBy("path", "__part").agg(F.max(F.struct("ts_ms", "value")).alias("__last"), F.count("*").alias("__n"))
+    before = Window.partitionBy("path").orderBy("__part")
+    ends = ends.select("path", "__part", F.lag("__last").over(before).alias("__before"), F.coalesce(F.sum("__n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__n"))
+    near = rows.withColumn("__near", F.lag(F.struct("ts_ms", "value")).over(inside)).withColumn("__i", F.row_number().over(inside))
+    prev = F.coalesce("__near", "__before")
+    return near.join(ends, ["path", "__part"]).select("path", "ts_ms", "value", prev["ts_ms"].alias("prev_ms"), prev["value"].alias("prev_value"), (F.col("__n") + F.col("__i")).cast("bigint").alias("place"))
 
 
 def in_range(rows: DataFrame, query: Query) -> DataFrame:
@@ -109,7 +136,7 @@ def wrapped(a: Column, b: Column) -> Column:
 
 def delta(series: DataFrame) -> DataFrame:
     """The change from the previous point of the range; null at the first."""
-    return series.select("path", "ts_ms", wrapped(F.col("value"), F.lag("value").over(by_time())).alias("value"))
+    return with_previous(series).select("path", "ts_ms", wrapped(F.col("value"), F.col("prev_value")).alias("value"))
 
 
 def view(series: DataFrame, query: Query) -> DataFrame:
@@ -133,9 +160,9 @@ def ends(series: DataFrame) -> DataFrame:
 
 
 def intervals(series: DataFrame) -> DataFrame:
-    """(path, from_ms, to_ms, gap_ms) between neighbouring points."""
-    prev = F.lag("ts_ms").over(by_time())
-    return series.select("path", prev.alias("from_ms"), F.col("ts_ms").alias("to_ms"), (F.col("ts_ms") - prev).alias("gap_ms")).where("gap_ms > 0")
+    """(path, from_ms, to_ms, gap_ms, ordinal) between neighbouring points, numbered from 1 in each path."""
+    steps = with_previous(series)
+    return steps.select("path", F.col("prev_ms").alias("from_ms"), F.col("ts_ms").alias("to_ms"), (F.col("ts_ms") - F.col("prev_ms")).alias("gap_ms"), (F.col("place") - 1).alias("ordinal")).where("gap_ms > 0")
 
 
 def typical(steps: DataFrame) -> DataFrame:
@@ -158,7 +185,7 @@ def typical(steps: DataFrame) -> DataFrame:
 def gaps(series: DataFrame, max_points: int) -> DataFrame:
     """(path, from_ms, to_ms, gap_ms, typical_ms): intervals over three times the usual, the largest `max_points` of each
     path."""
-    steps = intervals(series)
+    steps = intervals(series).drop("ordinal")
     wide = steps.join(typical(steps), "path").where("gap_ms > typical_ms * 3")
     rank = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("gap_ms"), "from_ms"))
     return wide.withColumn("__i", rank).where(F.col("__i") <= max(1, max_points)).drop("__i")
@@ -167,7 +194,6 @@ def gaps(series: DataFrame, max_points: int) -> DataFrame:
 def reservoir_slots(steps: DataFrame, capacity: int = 4096) -> DataFrame:
     """(path, slot, gap_ms): the intervals a fixed-size deterministic reservoir would hold. A slot is a function of an
     interval's ordinal, so the last ordinal of each slot stays."""
-    ordinal = F.row_number().over(Window.partitionBy("path").orderBy("to_ms")).cast("bigint")
     wide = "decimal(38,0)"
     half, whole = F.lit(str(1 << 32)).cast(wide), F.lit(str(1 << 64)).cast(wide)
 
@@ -193,10 +219,9 @@ def reservoir_slots(steps: DataFrame, capacity: int = 4096) -> DataFrame:
         x = bound(x, lambda v: times(v.bitwiseXOR(F.shiftrightunsigned(v, 27)), 0x94D049BB133111EB))
         return bound(x, lambda v: unsigned(v.bitwiseXOR(F.shiftrightunsigned(v, 31))))
 
-    numbered = steps.withColumn("ordinal", ordinal)
     at = F.col("ordinal")
     slot = F.when(at <= capacity, at - 1).otherwise((mixed(at) % at).cast("bigint"))
-    return numbered.withColumn("slot", slot).where(F.col("slot") < capacity).groupBy("path", "slot").agg(F.max_by("gap_ms", "ordinal").alias("gap_ms"))
+    return steps.withColumn("slot", slot).where(F.col("slot") < capacity).groupBy("path", "slot").agg(F.max_by("gap_ms", "ordinal").alias("gap_ms"))
 
 
 def downsampled(series: DataFrame, query: Query) -> DataFrame:
@@ -263,6 +288,26 @@ def schemas_of(blocks: DataFrame) -> DataFrame:
     return first.select("paths", (F.row_number().over(Window.orderBy("seen")) - 1).alias("schema_id"))  # a row a schema
 
 
+def paths_in_order(schemas: DataFrame) -> DataFrame:
+    """(place, path): every path once, in the order of its first appearance in the schemas."""
+    each = schemas.select("schema_id", F.posexplode("paths").alias("pos", "path"))
+    first = each.groupBy("path").agg(F.min(F.struct("schema_id", "pos")).alias("seen"))
+    return first.select((F.row_number().over(Window.orderBy("seen")) - 1).cast("bigint").alias("place"), "path")  # a row a path
+
+
+def blocks_of_metrics(blocks: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(file_id, block_ordinal, path, position): where each metric (path) stands in the blocks (file_id, block_ordinal, paths)
+    that have it; a metric that no block has gives no row."""
+    each = blocks.select("file_id", "block_ordinal", F.posexplode("paths").alias("position", "path"))
+    return each.join(metrics.select("path").distinct(), "path").select("file_id", "block_ordinal", "path", "position")
+
+
+def kept_paths(metrics: DataFrame) -> DataFrame:
+    """The distinct paths of metrics but for the excluded ones."""
+    excluded = metrics.sparkSession.createDataFrame([(p,) for p in EXCLUDED], "path string")
+    return metrics.select("path").subtract(excluded)
+
+
 def path_schemas(schemas: DataFrame) -> DataFrame:
     """(path, metric_id, schema_ids, place): each path with the schemas it is in, by first appearance."""
     each = schemas.select("schema_id", F.posexplode("paths").alias("pos", "path"))

@@ -10,6 +10,7 @@ from ..operators import logs
 from ..operators import series as S
 from ..operators import summary as A
 from ..sources import capture, lines
+from ..sources.store import publish
 from . import report
 
 
@@ -26,12 +27,15 @@ class LogAnalysis:
     @classmethod
     def from_paths(cls, spark: SparkSession, paths: list[str], store: str | None = None) -> LogAnalysis:
         entries = logs.entries(lines.read_lines(spark, paths))
-        if store:
-            entries.write.mode("overwrite").parquet(store)
-            entries = spark.read.parquet(store)
-        else:
-            entries = entries.persist()
-        return cls(entries, paths)
+        if not store:
+            return cls(entries.persist(), paths)
+        publish(entries, store)
+        return cls.open(spark, store, paths)
+
+    @classmethod
+    def open(cls, spark: SparkSession, store: str, files: list[str] | None = None) -> LogAnalysis:
+        """The analysis of entries that from_paths stored."""
+        return cls(spark.read.parquet(store), files)
 
     def summary(self) -> dict[str, DataFrame]:
         e, s = self.entries, self.slow
@@ -64,10 +68,15 @@ class LogAnalysis:
         return report.render(title, self.files, self.summary(), self.diagnostics() if with_diagnostics else None)
 
     def write(self, folder: str) -> None:
-        """Summary and diagnostics as JSON, the ranked queries as JSON lines; each is there whole or not at all."""
+        """Summary and diagnostics as JSON, the ranked queries as JSON lines; each result is there whole or not at all."""
         for kind, frames in (("summary", self.summary()), ("diagnostics", self.diagnostics())):
             for name, df in frames.items():
-                df.write.mode("overwrite").json(f"{folder}/{kind}/{name}")
+                publish(df, f"{folder}/{kind}/{name}", "json", ignoreNullFields="false")
+
+
+def written(spark: SparkSession, folder: str, name: str, like: DataFrame) -> DataFrame:
+    """A result that write() left, by its kind and name (such as summary/by_plan), with the columns of the frame it is like."""
+    return spark.read.schema(like.schema).json(f"{folder}/{name}").select(*like.columns)
 
 
 class MetricStore:
@@ -82,10 +91,10 @@ class MetricStore:
             raise ValueError(f"1 to {most_files} files")
         samples = capture.read_samples(spark, paths)
         grouped = samples.withColumn("group_id", S.stable_id(S.group_name(F.col("path"))))
-        grouped.repartition("group_id", "path").sortWithinPartitions("path", "ts_ms").write.mode("overwrite").partitionBy("group_id").parquet(f"{folder}/samples")
-        blocks = capture.read_blocks(spark, paths).drop("payload")
-        S.with_offsets(blocks).write.mode("overwrite").parquet(f"{folder}/blocks")
-        capture.manifest(spark, paths).write.mode("overwrite").parquet(f"{folder}/files")
+        publish(grouped.repartition("group_id", "path").sortWithinPartitions("path", "ts_ms"), f"{folder}/samples", partition_by="group_id")
+        blocks = capture.read_blocks(spark, paths).drop("payload", "offsets", "zeros")
+        publish(S.with_offsets(blocks), f"{folder}/blocks")
+        publish(capture.manifest(spark, paths), f"{folder}/files")
         return cls(spark, folder)
 
     def samples(self, group_id: str | None = None) -> DataFrame:
@@ -97,7 +106,7 @@ class MetricStore:
 
     def catalog(self) -> dict[str, DataFrame]:
         schemas = S.schemas_of(self.blocks())
-        return {"totals": S.catalog_totals(self.blocks()), "schemas": schemas, "metrics": S.path_schemas(schemas)}
+        return {"totals": S.catalog_totals(self.blocks()), "schemas": schemas, "metrics": S.path_schemas(schemas), "paths": S.paths_in_order(schemas)}
 
     def groups(self) -> DataFrame:
         metrics = self.blocks().select(F.explode("paths").alias("path")).distinct()
@@ -130,7 +139,7 @@ class MetricStore:
     def export_csv(self, path: str, out: str) -> None:
         """All merged points of a metric as gzip CSV, by time."""
         rows = self._path(path).select(F.col("ts_ms").alias("timestampEpochMillis"), "value")
-        rows.orderBy("timestampEpochMillis").write.mode("overwrite").option("header", True).option("compression", "gzip").csv(out)
+        publish(rows.orderBy("timestampEpochMillis"), out, "csv", header="true", compression="gzip")
 
     def changed_sources(self, paths: list[str]) -> DataFrame:
         return capture.changed(self.spark.read.parquet(f"{self.folder}/files"), capture.manifest(self.spark, paths))

@@ -22,13 +22,16 @@ SETTINGS = {
 
 
 def session(master: str | None = None, **settings: str) -> SparkSession:
-    """Returns the running session with our settings, or starts one. Names in settings use _ for . as in spark_sql_x."""
+    """Returns the running session with our settings, or starts one, and sends this package to its executors. Names in
+    settings use _ for . as in spark_sql_x."""
     builder = SparkSession.builder.appName("ferrywake")
     if master:
         builder = builder.master(master)
     for k, v in (SETTINGS | {k.replace("_", "."): v for k, v in settings.items()}).items():
         builder = builder.config(k, v)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def ship(spark: SparkSession) -> None:
@@ -47,3 +50,21 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, ROOT))
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
+
+
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. On one machine a temporary folder
+    does where none is named; on a cluster one must be."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="ferrywake-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        where = f"file://{_own[app]}"
+    return where.rstrip("/")

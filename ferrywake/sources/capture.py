@@ -146,52 +146,105 @@ def inflate(data: bytes) -> bytes:
     return out
 
 
-def decode_block(data: bytes) -> tuple[list[str], np.ndarray]:
-    """Paths, and values as attributes by points."""
-    payload = inflate(data)
-    if len(payload) < 13:
-        raise CaptureError("payload cut short")
-    size = struct.unpack_from("<i", payload)[0]
-    if not LEAST_DOC <= size <= len(payload) - 8:
-        raise CaptureError(f"bad baseline length {size}")
-    n, deltas = struct.unpack_from("<ii", payload, size)
-    if n < 1 or deltas < 0 or deltas + 1 > MOST_SAMPLES or n * (deltas + 1) > MOST_CELLS:
-        raise CaptureError(f"{n} attributes by {deltas} deltas are out of bounds")
-    paths, base = flatten(payload[:size])
-    if len(paths) != n:
-        raise CaptureError(f"{n} attributes declared, {len(paths)} found")
-    if "start" not in paths:
-        raise CaptureError("no start")
-    numbers = varints(payload, size + 8)
-    cells = np.zeros(n * deltas, np.uint64)
-    zeros = numbers == 0
+def _runs(numbers: np.ndarray, total: int, first: int = 0) -> list[tuple[int, int, int]]:
+    """What the numbers of a block stand for: (cell, number, count) of runs of values, and (cell, -1 - number behind, count)
+    of runs of zeros. first: zeros that come before. Runs end where `total` cells are full."""
+    out = [(0, -1, min(first, total))] if first else []
+    stops = np.flatnonzero(numbers == 0)
+    i, k, at = 0, 0, min(first, total)
     # a zero is followed by its run; a run that is itself 0 must not be taken for another zero
-    i = at = 0
-    stops = np.flatnonzero(zeros)
-    k = 0
-    while i < len(numbers):
-        while k < len(stops) and stops[k] < i:
-            k += 1
+    while i < len(numbers) and at < total:
+        k = int(np.searchsorted(stops, i))
         j = int(stops[k]) if k < len(stops) else len(numbers)
-        if at + (j - i) > len(cells):
-            raise CaptureError("bytes trail the deltas")
-        cells[at : at + j - i] = numbers[i:j]
-        at += j - i
-        if j == len(numbers):
+        n = min(j - i, total - at)
+        if n:
+            out.append((at, i, n))
+        at, i = at + n, i + n
+        if at == total or i == len(numbers):
             break
-        if j + 1 >= len(numbers):
+        if i + 1 >= len(numbers):
             raise CaptureError("varint cut short")
-        run = int(numbers[j + 1])
-        if at + 1 + run > len(cells):
+        run = int(numbers[i + 1]) + 1
+        out.append((at, -3 - i, run))
+        at, i = at + run, i + 2
+    return [*out, (at, i, 0)]
+
+
+def _cells(numbers: np.ndarray, total: int, first: int = 0) -> np.ndarray:
+    cells = np.zeros(total, np.uint64)
+    for at, number, n in _runs(numbers, total, first):
+        if number >= 0:
+            cells[at : at + n] = numbers[number : number + n]
+    return cells
+
+
+class Payload:
+    """An inflated block: its paths, first values, and where each column's deltas begin."""
+
+    def __init__(self, data: bytes):
+        self.data = payload = inflate(data)
+        if len(payload) < 13:
+            raise CaptureError("payload cut short")
+        size = struct.unpack_from("<i", payload)[0]
+        if not LEAST_DOC <= size <= len(payload) - 8:
+            raise CaptureError(f"bad baseline length {size}")
+        n, deltas = struct.unpack_from("<ii", payload, size)
+        if n < 1 or deltas < 0 or deltas + 1 > MOST_SAMPLES or n * (deltas + 1) > MOST_CELLS:
+            raise CaptureError(f"{n} attributes by {deltas} deltas are out of bounds")
+        self.paths, self.base = flatten(payload[:size])
+        if len(self.paths) != n:
+            raise CaptureError(f"{n} attributes declared, {len(self.paths)} found")
+        if "start" not in self.paths:
+            raise CaptureError("no start")
+        self.n, self.deltas, self.at = n, deltas, size + 8
+
+    def all(self) -> np.ndarray:
+        """Values as attributes by points, every byte checked."""
+        total = self.n * self.deltas
+        numbers = varints(self.data, self.at)
+        end, used, _ = _runs(numbers, total)[-1]
+        if end > total:
             raise CaptureError("a run of zeros goes beyond the block")
-        at += 1 + run
-        i = j + 2
-    if at != len(cells):
-        raise CaptureError("deltas cut short")
-    out = np.empty((n, deltas + 1), np.uint64)
-    out[:, 0] = np.array(base, np.int64).view(np.uint64)
-    out[:, 1:] = cells.reshape(n, deltas)
-    return paths, np.cumsum(out, axis=1, dtype=np.uint64).view(np.int64)
+        if end < total:
+            raise CaptureError("deltas cut short")
+        if used < len(numbers):
+            raise CaptureError("bytes trail the deltas")
+        return self._summed(np.array(self.base, np.int64), _cells(numbers, total).reshape(self.n, self.deltas))
+
+    def index(self) -> tuple[list[int], list[int]]:
+        """For each column, the byte where its first own number begins, and the zeros that a run leaves before it."""
+        numbers = varints(self.data, self.at)
+        raw = np.frombuffer(self.data, np.uint8, offset=self.at)
+        begins = np.append(0, np.flatnonzero(raw < 0x80) + 1) + self.at
+        offsets, zeros = [], []
+        runs, k = _runs(numbers, self.n * self.deltas), 0
+        for cell in range(0, self.n * self.deltas, self.deltas) if self.deltas else [0] * self.n:
+            while k + 1 < len(runs) and runs[k + 1][0] <= cell:
+                k += 1
+            at, number, n = runs[k]
+            ahead = number >= 0
+            offsets.append(int(begins[number + cell - at if ahead else -1 - number]))
+            zeros.append(0 if ahead else at + n - cell)
+        return offsets, zeros
+
+    def columns(self, which: list[int], offsets: list[int], zeros: list[int]) -> np.ndarray:
+        """The values of some columns, by an index: no byte of another column is decoded."""
+        cells = np.zeros((len(which), self.deltas), np.uint64)
+        for i, c in enumerate(which):
+            if zeros[c] < self.deltas:
+                end = offsets[c + 1] if c + 1 < self.n else len(self.data)
+                cells[i] = _cells(varints(self.data[:end], offsets[c]), self.deltas, zeros[c])
+        return self._summed(np.array([self.base[c] for c in which], np.int64), cells)
+
+    def _summed(self, base: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        out = np.concatenate([base.view(np.uint64)[:, None], cells], axis=1)
+        return np.cumsum(out, axis=1, dtype=np.uint64).view(np.int64)
+
+
+def decode_block(data: bytes) -> tuple[list[str], np.ndarray]:
+    """Paths, and values as attributes by points."""
+    p = Payload(data)
+    return p.paths, p.all()
 
 
 def scan(data: bytes):
@@ -272,7 +325,7 @@ def _decoded(data: bytes):
             raise CaptureError(f"offset {offset}, block {ordinal}: {e}") from e
 
 
-BLOCKS = "file_id int, block_ordinal int, file_offset long, doc_length int, declared_len int, compressed_len int, num_deltas int, start_ms long, end_ms long, paths array<string>, payload binary"
+BLOCKS = "file_id int, block_ordinal int, file_offset long, doc_length int, declared_len int, compressed_len int, num_deltas int, start_ms long, end_ms long, paths array<string>, offsets array<int>, zeros array<int>, payload binary"
 SAMPLES = "path string, file_id int, block_start long, block_ordinal int, point_idx int, ts_ms long, value long"
 
 
@@ -284,8 +337,8 @@ def blocks_of(files: DataFrame) -> DataFrame:
             for file_id, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for ordinal, offset, size, block, names, values in _decoded(data):
                     start = values[names.index("start")]
-                    row = (file_id, ordinal, offset, size, struct.unpack_from("<i", block)[0], len(block) - 4, values.shape[1] - 1, int(start[0]), int(start[-1]), names, block)
-                    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.binary())
+                    row = (file_id, ordinal, offset, size, struct.unpack_from("<i", block)[0], len(block) - 4, values.shape[1] - 1, int(start[0]), int(start[-1]), names, *Payload(block).index(), block)
+                    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [c.split()[0] for c in BLOCKS.split(", ")])
 
     return files.mapInArrow(work, BLOCKS)
@@ -310,6 +363,44 @@ def samples_of(files: DataFrame, metrics: list[str] | None = None) -> DataFrame:
     return files.mapInArrow(work, SAMPLES)
 
 
+def samples_of_blocks(blocks: DataFrame, metrics: list[str]) -> DataFrame:
+    """The long frame of the named metrics alone, out of indexed blocks: blocks without any of them are not inflated, and
+    of the others only the times and the named columns are decoded."""
+    some = F.array(*[F.lit(m) for m in metrics])
+    rows = blocks.where(F.arrays_overlap("paths", some)).select("file_id", "block_ordinal", "paths", "offsets", "zeros", "payload")
+
+    def work(batches):
+        for b in batches:
+            for file_id, ordinal, names, offsets, zeros, block in zip(*(b.column(i).to_pylist() for i in range(6))):
+                mine = [i for i, x in enumerate(names) if x in metrics]
+                ts, *values = Payload(block).columns([names.index("start"), *mine], offsets, zeros)
+                n = len(ts)
+                for i, v in zip(mine, values):
+                    cols = [np.full(n, file_id, np.int32), np.full(n, ts[0]), np.full(n, ordinal, np.int32), np.arange(n, dtype=np.int32), ts, v]
+                    yield pa.RecordBatch.from_arrays([pa.array([names[i]] * n), *(pa.array(c) for c in cols)], [c.split()[0] for c in SAMPLES.split(", ")])
+
+    return rows.mapInArrow(work, SAMPLES)
+
+
+def write_files(documents: DataFrame, folder: str) -> list[str]:
+    """Writes documents (file_id, part, content) as one capture file for each file_id, its documents by part; returns the
+    paths by file_id. A file is one task's, as it is when read."""
+
+    def work(pdf):
+        from pyarrow import fs
+
+        where, base = fs.FileSystem.from_uri(folder)
+        where.create_dir(base, recursive=True)
+        path = f"{base}/capture-{int(pdf['file_id'].iloc[0]):06d}.bin"
+        with where.open_output_stream(path) as f:
+            for content in pdf.sort_values("part")["content"]:
+                f.write(content)
+        return pdf[["file_id"]].head(1)
+
+    ids = documents.groupBy("file_id").applyInPandas(work, "file_id int").collect()
+    return [f"{folder}/capture-{r.file_id:06d}.bin" for r in sorted(ids)]
+
+
 def read_blocks(spark: SparkSession, paths: list[str]) -> DataFrame:
     return blocks_of(_files(spark, paths))
 
