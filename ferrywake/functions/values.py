@@ -28,25 +28,34 @@ def _number_text(variant: Column) -> Column:
     return F.when(is_number(variant), variant.cast("string")).when(kind_of(variant).startswith("OBJECT"), wrapped)
 
 
+def _once(x: Column, use) -> Column:
+    """use(x), with x computed once however often it is used."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def whole_number(text: Column) -> Column:
     """The whole number that a decimal text (with or without a fraction and an exponent) stands for, exactly; null if it is
     none or leaves a long."""
     form = r"^([+-]?)([0-9]*)(?:\.([0-9]*))?(?:[eE]([+-]?[0-9]{1,6}))?$"
-    sign, left, right, power = (F.regexp_extract(text, form, i) for i in range(1, 5))
-    digits = F.concat(left, right)
-    kept = F.regexp_replace(digits, "0+$", "")
-    # zeros to put behind the digits that are left; fewer than none: there is a fraction
-    zeros = F.coalesce(power.try_cast("int"), F.lit(0)) - F.length(right) + F.length(digits) - F.length(kept)
-    value = F.when(zeros.between(0, 19), F.concat(sign, kept, F.repeat(F.lit("0"), zeros)).try_cast("bigint"))
-    return F.when(text.rlike(form) & (digits != ""), F.when(kept == "", F.lit(0).cast("bigint")).otherwise(value))
+
+    def value(t: Column) -> Column:
+        sign, left, right, power = (F.regexp_extract(t, form, i) for i in range(1, 5))
+        digits = F.concat(left, right)
+        kept = F.regexp_replace(digits, "0+$", "")
+        # zeros to put behind the digits that are left; fewer than none: there is a fraction
+        zeros = F.coalesce(power.try_cast("int"), F.lit(0)) - F.length(right) + F.length(digits) - F.length(kept)
+        number = F.when(zeros.between(0, 19), F.concat(sign, kept, F.repeat(F.lit("0"), zeros)).try_cast("bigint"))
+        return F.when(t.rlike(form) & (digits != ""), F.when(kept == "", F.lit(0).cast("bigint")).otherwise(number))
+
+    return _once(text, lambda t: F.coalesce(F.when(t.rlike(r"^[0-9]{1,18}$"), t.try_cast("bigint")), value(t)))
 
 
 def exact_long(variant: Column) -> Column:
     """A whole number from 0 to the largest long, as a number, a wrapped number or digits in a string; else null."""
-    from_number = whole_number(F.coalesce(_number_text(variant), F.expr("CAST(NULL AS STRING)")))
     text = F.when(kind_of(variant) == "STRING", variant.cast("string"))
-    from_text = F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("bigint"))
-    return F.coalesce(F.when(from_number >= 0, from_number), F.when(from_text >= 0, from_text))
+    digits = _once(text, lambda t: F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("bigint")))
+    found = F.coalesce(whole_number(F.coalesce(_number_text(variant), F.expr("CAST(NULL AS STRING)"))), digits)
+    return _once(found, lambda n: F.when(n >= 0, n))
 
 
 def count_of(variant: Column) -> Column:

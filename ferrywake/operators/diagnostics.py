@@ -163,6 +163,11 @@ def abnormal(entries: DataFrame) -> DataFrame:
     return found.select("key", "head.severity", "head.component", "head.message_id", redacted(F.col("head.message")).alias("message"), "n", "first_ms", "last_ms", "samples").orderBy(F.desc("n"), "key")
 
 
+def event_list(events: DataFrame) -> DataFrame:
+    """Events (of abnormal() or replication(), at most some hundred) with their places: the most frequent first, then by key."""
+    return events.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "key")).cast("bigint"))
+
+
 def is_accepted() -> Column:
     m = F.lower(F.coalesce("message", F.lit("")))
     return (m == "connection accepted") | m.startswith("connection accepted from")

@@ -94,3 +94,12 @@ def _documents(message: pd.Series, operation: pd.Series) -> pd.DataFrame:
 def documents(message: Column, operation: Column) -> Column:
     """The command document of a message and the one it continues, as JSON."""
     return F.pandas_udf(_documents, "command string, origin string")(message, operation)
+
+
+def balanced_after(text: Column, marker: str) -> Column:
+    """The braced document after the marker, or null."""
+    return F.pandas_udf(lambda xs: xs.map(lambda x: balanced(x, marker) if isinstance(x, str) else None), "string")(text)
+
+
+def shell_as_json(document: Column) -> Column:
+    return F.pandas_udf(lambda xs: xs.map(lambda x: as_json(x) if isinstance(x, str) else None), "string")(document)

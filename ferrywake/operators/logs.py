@@ -201,11 +201,25 @@ def single_line(lines: DataFrame) -> DataFrame:
     return df.withColumns({"error_code": code, "status": status})
 
 
+def routed(raw_line: Column) -> Column:
+    """The line without a leading byte-order mark and outer white space; structured lines are those that begin with a brace."""
+    return trimmed(without_bom(F.coalesce(raw_line, F.lit(""))))
+
+
+def is_structured(raw_line: Column) -> Column:
+    return routed(raw_line).startswith("{")
+
+
+def line_metadata(raw: DataFrame) -> DataFrame:
+    """What only the raw line of an entry tells: its message id, context, service and tags, of either format."""
+    there = entries(raw).where(F.col("status").isin("SUCCESS", "PARTIAL"))
+    return there.select("file_index", "line_number", "message_id", "context", "component", F.col("envelope.service").alias("service"), F.array_join("envelope.tags", ",").alias("tags"))
+
+
 def entries(raw: DataFrame) -> DataFrame:
     """raw (file_index, line_number, raw_line) as one row a line; the entry's columns are null unless status is SUCCESS or
     PARTIAL."""
-    line = trimmed(without_bom(F.coalesce(F.col("raw_line"), F.lit(""))))
-    lines = raw.select("file_index", "line_number", "raw_line", line.alias("__line"))
+    lines = raw.select("file_index", "line_number", "raw_line", routed(F.col("raw_line")).alias("__line"))
     parsed = structured(lines.where(F.col("__line").startswith("{"))).unionByName(single_line(lines.where(~F.col("__line").startswith("{"))), allowMissingColumns=True)
     there = F.col("status").isin("SUCCESS", "PARTIAL")
     return parsed.select("file_index", "line_number", "raw_line", "status", "error_code", *[F.when(there, F.col(c)).alias(c) for c in ENTRY])

@@ -181,8 +181,8 @@ def _stats(t: str) -> str:
 
 add("o42_range", "samples", lambda s: S.view(S.merged(s), _query), f"{_merged} SELECT * FROM m WHERE ts_ms BETWEEN {_range[0]} AND {_range[1]}")
 add("o43_kept_paths", "samples", lambda s: s.select("path").distinct().where(~F.col("path").isin(*S.EXCLUDED)), "SELECT DISTINCT path FROM samples WHERE path NOT IN ('" + "', '".join(S.EXCLUDED) + "')")
-add("o44_merged", "samples", lambda s: S.merged(s.where("path = 'flat'")), f"{_merged} SELECT * FROM m WHERE path = 'flat'")
-add("o45_group_merged", "samples", S.merged, f"{_merged} SELECT * FROM m")
+add("o44_merged", "samples", S.merged, f"{_merged} SELECT * FROM m")
+add("o45_group_merged", "samples", lambda s: S.merged(s).join(S.groups(s).select("path", "name"), "path"), f"{_merged} SELECT m.*, {_group} AS name FROM m WHERE path NOT IN ('" + "', '".join(S.EXCLUDED) + "')")
 add("o46_increasing", "samples", S.increasing, """, g AS (SELECT *, MAX(ts_ms) OVER (PARTITION BY path, file_id ORDER BY block_start, block_ordinal, point_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM samples)
   SELECT path, ts_ms, FIRST(value ORDER BY file_id, block_start, block_ordinal, point_idx) AS value FROM g WHERE seen IS NULL OR ts_ms > seen GROUP BY 1, 2""")
 add("o49_overlapping_blocks", "blocks", lambda b: S.overlapping(b, *_range), f"SELECT * FROM blocks WHERE end_ms >= {_range[0]} AND start_ms <= {_range[1]}")
@@ -238,9 +238,6 @@ add(
     "o107_group_series", "samples", _group_series,
     _down(", m0 AS (SELECT path, ts_ms, FIRST(value ORDER BY file_id, block_start, block_ordinal, point_idx) AS value FROM samples WHERE STARTS_WITH(path, 'serverStatus/opcounters/') GROUP BY 1, 2), m AS (SELECT path, ts_ms, value - LAG(value) OVER (PARTITION BY path ORDER BY ts_ms) AS value FROM m0)", 300),
 )
-add("o99_paths", "samples", lambda s: s.select("path").distinct(), "SELECT DISTINCT path FROM samples")
-
-
 # sources and parsers: rows are written in each format and read back
 def _iso(ms: str, form: str) -> str:
     return f"date_format(timestamp_millis({ms}), '{form}')"
@@ -278,26 +275,6 @@ Q["o27_query_shapes"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/even
 SQL["o27_query_shapes"] = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN CONCAT('{"b', user_id, '":["?","?"],"z":"?"}') WHEN 1 THEN '{}' WHEN 2 THEN '[{"$match":{"s":"?"}}]' ELSE '{"n":{"m":"?"}}' END AS shape FROM events"""
 
 
-def _captured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples of three captures, written as capture files (in memory) and decoded again."""
-    import pandas as pd
-
-    points = S.merged(frame(spark, sf_dir, "samples").where("path LIKE 'serverStatus/opcounters/%' AND file_id = 0"))
-
-    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="ts_ms", columns="path", values="value").sort_index().fillna(-1).astype("int64")
-        names = ["start", *wide.columns]
-        values = wide.reset_index()[["ts_ms", *wide.columns]].to_numpy().T
-        return pd.DataFrame({"file_id": [0], "content": [capture.encode_block(names, values)]})
-
-    day = points.withColumn("day", F.floor(F.col("ts_ms") / 86_400_000))
-    return capture.samples_of(day.groupBy("day").applyInPandas(encode, "file_id int, content binary")).where("path <> 'start' AND value >= 0").select("path", "ts_ms", "value")
-
-
-Q["o04_capture_round_trip"] = _captured
-SQL["o04_capture_round_trip"] = duck("samples") + "SELECT path, ts_ms, FIRST(value ORDER BY file_id, block_start, block_ordinal, point_idx) AS value FROM samples WHERE path LIKE 'serverStatus/opcounters/%' AND file_id = 0 GROUP BY 1, 2"
-
-
 def _all_captured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sample of every file, written as capture files (one for each file and day, in memory) and decoded again.
 
@@ -324,8 +301,8 @@ def _all_captured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.where("held > 0").select("file_id", "path", "ts_ms", F.when(F.col("held") == 1, F.col("value")).alias("value"))
 
 
-Q["o04_capture_round_trip_all"] = _all_captured
-SQL["o04_capture_round_trip_all"] = duck("samples") + "SELECT file_id, path, ts_ms, FIRST(value ORDER BY block_start, block_ordinal, point_idx) AS value FROM samples GROUP BY 1, 2, 3"
+Q["o04_capture_round_trip"] = _all_captured
+SQL["o04_capture_round_trip"] = duck("samples") + "SELECT file_id, path, ts_ms, FIRST(value ORDER BY block_start, block_ordinal, point_idx) AS value FROM samples GROUP BY 1, 2, 3"
 _paths = ", l AS (SELECT file_id, block_ordinal, LIST(DISTINCT path ORDER BY path) AS ps FROM samples GROUP BY 1, 2), f AS (SELECT ps, MIN(ROW(file_id, block_ordinal)) AS seen FROM l GROUP BY 1), i AS (SELECT ps, ROW_NUMBER() OVER (ORDER BY seen) - 1 AS id FROM f), u AS (SELECT id, UNNEST(ps) AS path FROM i)"
 
 
@@ -334,4 +311,14 @@ def _schemas(s: DataFrame) -> DataFrame:
 
 
 add("o50_path_schemas", "samples", lambda s: S.path_schemas(_schemas(s)).select("path", "metric_id", F.array_join(F.col("schema_ids").cast("array<string>"), ",").alias("schema_ids")), f"{_paths} SELECT path, SUBSTR(SHA256(path), 1, 16) AS metric_id, STRING_AGG(CAST(id AS VARCHAR), ',' ORDER BY id) AS schema_ids FROM u GROUP BY 1")
-add("o48_blocks_of_metrics", "samples", lambda s: s.select("file_id", "block_ordinal", "path").distinct().join(F.broadcast(s.sparkSession.createDataFrame([("flat",), ("serverStatus/metrics/zero",)], "path string")), "path"), "SELECT DISTINCT file_id, block_ordinal, path FROM samples WHERE path IN ('flat', 'serverStatus/metrics/zero')")
+_listed = ", l AS (SELECT file_id, block_ordinal, LIST(DISTINCT path ORDER BY path) AS ps FROM samples GROUP BY 1, 2)"
+
+
+def _block_paths(s: DataFrame) -> DataFrame:
+    return s.groupBy("file_id", "block_ordinal").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+
+
+add("o48_blocks_of_metrics", "samples", lambda s: S.blocks_of_metrics(_block_paths(s), S.kept_paths(s)), f"{_listed} SELECT * FROM (SELECT file_id, block_ordinal, UNNEST(ps) AS path, CAST(generate_subscripts(ps, 1) - 1 AS INT) AS position FROM l) x WHERE path NOT IN ('" + "', '".join(S.EXCLUDED) + "')")
+add("o99_paths", "samples", lambda s: S.paths_in_order(_schemas(s)), f"{_listed}, f AS (SELECT ps, MIN(ROW(file_id, block_ordinal)) AS seen FROM l GROUP BY 1), i AS (SELECT ps, ROW_NUMBER() OVER (ORDER BY seen) - 1 AS id FROM f), u AS (SELECT id, UNNEST(ps) AS path, generate_subscripts(ps, 1) AS pos FROM i), g AS (SELECT path, MIN(ROW(id, pos)) AS seen FROM u GROUP BY 1) SELECT ROW_NUMBER() OVER (ORDER BY seen) - 1 AS place, path FROM g")
+
+from . import source_queries  # noqa: E402, F401  the queries of sources, parsers and stores join these

@@ -283,14 +283,14 @@ def _varint(n: int) -> bytes:
     return bytes(out)
 
 
-def _document(fields: list[tuple[int, str, bytes]]) -> bytes:
+def document(fields: list[tuple[int, str, bytes]]) -> bytes:
     body = b"".join(bytes([kind]) + name.encode() + b"\0" + value for kind, name, value in fields)
     return struct.pack("<i", len(body) + 5) + body + b"\0"
 
 
 def encode_block(paths: list[str], values: np.ndarray) -> bytes:
     """A metric document of plain paths (`start` among them) and their values, attributes by points."""
-    base = _document([(9 if p == "start" else 18, p, struct.pack("<q", int(v))) for p, v in zip(paths, values[:, 0])])
+    base = document([(9 if p == "start" else 18, p, struct.pack("<q", int(v))) for p, v in zip(paths, values[:, 0])])
     deltas = np.diff(values.astype(np.int64).view(np.uint64), axis=1).ravel()
     out, i = bytearray(), 0
     while i < len(deltas):
@@ -304,7 +304,7 @@ def encode_block(paths: list[str], values: np.ndarray) -> bytes:
         i += run
     payload = base + struct.pack("<ii", len(paths), values.shape[1] - 1) + bytes(out)
     data = struct.pack("<I", len(payload)) + zlib.compress(payload)
-    return _document([(16, "type", struct.pack("<i", 1)), (5, "data", struct.pack("<i", len(data)) + b"\0" + data)])
+    return document([(16, "type", struct.pack("<i", 1)), (5, "data", struct.pack("<i", len(data)) + b"\0" + data)])
 
 
 def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -382,6 +382,35 @@ def samples_of_blocks(blocks: DataFrame, metrics: list[str]) -> DataFrame:
     return rows.mapInArrow(work, SAMPLES)
 
 
+def checked(blocks: DataFrame) -> DataFrame:
+    """blocks (id, block) as (id, attributes, points, total, error): the shape and the sum of the values of a sound block, and
+    what is wrong with any other, up to a colon."""
+
+    def work(batches):
+        for b in batches:
+            out = []
+            for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    _, values = decode_block(data)
+                    out.append((i, *values.shape, int(values.sum()), None))
+                except CaptureError as e:
+                    out.append((i, None, None, None, str(e).split(":")[0]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["id", "attributes", "points", "total", "error"])
+
+    return blocks.mapInArrow(work, "id long, attributes long, points long, total long, error string")
+
+
+def flattened(documents: DataFrame) -> DataFrame:
+    """documents (id, document) as (id, position, path, value): their numbers in order."""
+
+    def work(batches):
+        for b in batches:
+            out = [(i, k, p, v) for i, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k, (p, v) in enumerate(zip(*flatten(d)))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64()))], ["id", "position", "path", "value"])
+
+    return documents.mapInArrow(work, "id long, position long, path string, value long")
+
+
 def write_files(documents: DataFrame, folder: str) -> list[str]:
     """Writes documents (file_id, part, content) as one capture file for each file_id, its documents by part; returns the
     paths by file_id. A file is one task's, as it is when read."""
