@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
 import uuid
 
 import numpy as np
@@ -13,34 +9,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = tempfile.mkdtemp(prefix="ferrywake-")
-            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-        where = f"file://{_own[app]}"
-    return where.rstrip("/")
+def _stashes(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/ferrywake/{spark.sparkContext.applicationId}"
 
 
-def _stashes(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/ferrywake/{spark.sparkContext.applicationId}"
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear(spark: SparkSession) -> None:
     """Deletes what stash() has written in this application; results that still read it are void."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stashes(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _stashes(spark))
+    _stored.clear()
+
+
+_stored: list[str] = []
+
+
+def stored() -> int:
+    """How many tables stash() has written so far."""
+    return len(_stored)
+
+
+def forget(spark: SparkSession, since: int) -> None:
+    """Deletes the tables written since then, but for the last, which must be all that is still read."""
+    for path in _stored[since:-1]:
+        _delete(spark, path)
+    del _stored[since:-1]
 
 
 def stash(df: DataFrame) -> DataFrame:
@@ -48,6 +51,7 @@ def stash(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{_stashes(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,7 +11,8 @@ Segmentations of a text are drawn without replacement by a perturbed A-star sear
 holds regions of the tree of segmentations with the maximum of their Gumbel perturbations, which is drawn
 top down from the region's probability alone. The region on top yields its best segmentation by walking
 the lattice, and what is left of it goes back as two regions: those that leave the same path elsewhere,
-and those that share the new branch. Nothing is expanded that is not emitted. The k + 1st maximum is the
+and those that share the new branch (steps whose probability is under e^-50 of the region's first are not counted in
+its mass). Nothing is expanded that is not emitted. The k + 1st maximum is the
 threshold of the inclusion scores: 1 - exp(-exp(log_prob - threshold)).
 
 Randomness is a hash of the seed, the row key, the sample and the place in the text, so results do not
