@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import average
+from ..sources.store import kept
 
 # Paths that are their own groups by prefix, and those of no group.
 SPECIAL_PREFIXES = (
@@ -185,7 +186,7 @@ def typical(steps: DataFrame) -> DataFrame:
 def gaps(series: DataFrame, max_points: int) -> DataFrame:
     """(path, from_ms, to_ms, gap_ms, typical_ms): intervals over three times the usual, the largest `max_points` of each
     path."""
-    steps = intervals(series).drop("ordinal")
+    steps = kept(intervals(series).drop("ordinal"))
     wide = steps.join(typical(steps), "path").where("gap_ms > typical_ms * 3")
     rank = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("gap_ms"), "from_ms"))
     return wide.withColumn("__i", rank).where(F.col("__i") <= max(1, max_points)).drop("__i")
@@ -230,6 +231,7 @@ def downsampled(series: DataFrame, query: Query) -> DataFrame:
 
     The range of the buckets is the query's, or that of all the paths' points where it is open."""
     n = query.max_points
+    series = kept(series)  # five parts of the plan read it
     bounds = series.agg(F.min("ts_ms").alias("lo"), F.max("ts_ms").alias("hi"))  # one row
     lo = F.lit(query.start_ms) if query.start_ms is not None else F.col("lo")
     hi = F.lit(query.end_ms) if query.end_ms is not None else F.col("hi")

@@ -192,7 +192,7 @@ add("o81_catalog_totals", "blocks", S.catalog_totals, "SELECT COUNT(*) AS blocks
 add("o82_groups", "samples", S.groups, f"SELECT DISTINCT SUBSTR(SHA256({_group}), 1, 16) AS group_id, {_group} AS name, path, SUBSTR(SHA256(path), 1, 16) AS metric_id FROM samples WHERE path NOT IN ('" + "', '".join(S.EXCLUDED) + "')")
 add("o86_delta", "samples", lambda s: S.delta(S.merged(s)), f"{_merged}{_delta} SELECT * FROM d")
 _steps = ", s AS (SELECT path, LAG(ts_ms) OVER (PARTITION BY path ORDER BY ts_ms) AS from_ms, ts_ms AS to_ms, ts_ms - LAG(ts_ms) OVER (PARTITION BY path ORDER BY ts_ms) AS gap_ms FROM m)"
-add("o88_intervals", "samples", lambda s: S.intervals(S.merged(s)), f"{_merged}{_steps} SELECT * FROM s WHERE gap_ms > 0")
+add("o88_intervals", "samples", lambda s: S.intervals(S.merged(s)).drop("ordinal"), f"{_merged}{_steps} SELECT * FROM s WHERE gap_ms > 0")
 add("o89_point_offsets", "blocks", lambda b: S.with_offsets(b).select("file_id", "block_ordinal", F.col("point_offset").cast("bigint").alias("point_offset")), "SELECT file_id, block_ordinal, CAST(COALESCE(SUM(num_deltas + 1) OVER (PARTITION BY file_id ORDER BY block_ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS point_offset FROM blocks")
 add("o90_ends", "samples", lambda s: S.ends(S.merged(s)), f"{_merged} SELECT path, COUNT(*) AS points, MIN(ts_ms) AS first_ms, ARG_MIN_NULL(value, ts_ms) AS first_value, MAX(ts_ms) AS last_ms, ARG_MAX_NULL(value, ts_ms) AS last_value FROM m GROUP BY 1")
 add("o94_point_page", "samples", lambda s: S.page(S.merged(s.where("path = 'flat'")), 100, 50), f"{_merged}, f AS (SELECT * FROM m WHERE path = 'flat') SELECT *, (SELECT COUNT(*) FROM f) AS total FROM f ORDER BY ts_ms LIMIT 50 OFFSET 100")

@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_folder
+
 
 def _fs(spark: SparkSession, path: str):
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -28,3 +30,11 @@ def publish(df: DataFrame, path: str, kind: str = "parquet", partition_by: str |
         raise OSError(f"{path} can't be published")
     if had:
         fs.delete(aside, True)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder: for what a plan reads several times and that is costly to make."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/ferrywake-kept/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
