@@ -182,6 +182,8 @@ def _in_duckdb(text: str) -> str:
 SQL["o37_redacted_documents"] = f"SELECT doc_id, {_in_duckdb('text')} AS text FROM documents"
 add("o96_event_order", "entries", lambda e: D.event_list(D.abnormal(e)).select("key", "n", "place"), f", {_abn} SELECT key, n, ROW_NUMBER() OVER (ORDER BY n DESC, key) AS place FROM g")
 
+add("o100_paths_except", "samples", S.kept_paths, "SELECT path FROM samples EXCEPT SELECT p FROM (VALUES " + ", ".join(f"('{p}')" for p in S.EXCLUDED) + ") v(p)")
+
 # tasks
 _TASK = "event_id AS task_id, event_id * 7 % 1000 AS done_bytes, CASE WHEN event_id % 11 = 0 THEN 0 ELSE 1000 - event_id % 3 END AS total_bytes, event_id % 5 = 0 AS completed"
 Q["o97_task_listing"] = lambda spark, sf_dir: tasks.listing(frame(spark, sf_dir, "entries").select(F.col("line_number").alias("task_id"), F.col("ts_ms").alias("created_ms"), "status"))
