@@ -48,6 +48,8 @@ UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 #: Edges of known units held in one task, at most, and characters of text segmented at once.
 EDGES = 3_000_000
 AT_ONCE = 1_200_000
+#: Characters of new units whose lattices are built at once; a unit that has more is built whole.
+CHARS = 400_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 NONE = -(1 << 31)
 FULL = (1 << 64) - 1
@@ -130,8 +132,13 @@ class Lattices:
         ids = np.fromiter(map(known.__getitem__, units), np.int64, n)
         if len(known) > before:
             fresh = list(known)[before:] if before else list(known)
-            for i in range(0, len(fresh), 50_000):
-                self._add(fresh[i : i + 50_000])
+            ends = np.cumsum(np.fromiter(map(len, fresh), np.int64, len(fresh)))
+            a = 0
+            while a < len(fresh):  # some units at a time, fewer of long ones; a longer one alone
+                b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHARS, "right"))
+                b = max(a + 1, min(b, a + 50_000))
+                self._add(fresh[a:b])
+                a = b
         return self.root[ids]
 
     def _add(self, units: list[str]) -> None:

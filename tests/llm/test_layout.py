@@ -150,6 +150,23 @@ def segmentations(vocab, unit):
     return out
 
 
+def test_lattices_built_some_units_at_a_time_are_the_same(vocab, prose, monkeypatch):
+    units = [lattice.units_of(prose(i, 30) + " " + "x" * (i * 40) + " " + "漢字é" * i) for i in range(12)]
+    keys = lattice._mix(np.arange(len(units), dtype=np.uint64) * lattice.BASE)
+
+    def ids():
+        lat = lattice.Lattices(vocab)
+        return [[(lat.ids(x[0]).tolist(), x[1:]) for x in of_text] for of_text in lattice.sample(lat, keys, units, 2)]
+
+    whole, built, add = ids(), [], lattice.Lattices._add
+    monkeypatch.setattr(lattice.Lattices, "_add", lambda self, new: built.append(sum(map(len, new)) if len(new) > 1 else 0) or add(self, new))
+    monkeypatch.setattr(lattice, "CHARS", 100)
+    small = ids()
+    assert len(built) > 10 and 0 < max(built) <= 100
+    assert [[x[0] for x in t] for t in small] == [[x[0] for x in t] for t in whole]
+    assert np.allclose([x[1] for t in small for x in t], [x[1] for t in whole for x in t])
+
+
 def test_sampling_is_exact(vocab):
     units = lattice.units_of("on the")
     every = [(a + b, x + y) for (a, x), (b, y) in itertools.product(*(segmentations(vocab, u) for u in units))]
