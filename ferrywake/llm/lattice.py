@@ -30,7 +30,7 @@ import math
 import re
 import zlib
 from collections import defaultdict
-from itertools import chain, count
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,7 @@ AT_ONCE = 1_200_000
 #: Characters of new units whose lattices are built at once; a unit that has more is built whole.
 CHARS = 400_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
+SPREAD = np.uint64(0xD6E8FEB86659FD93)
 NONE = -(1 << 31)
 FULL = (1 << 64) - 1
 
@@ -105,11 +106,42 @@ class Vocabulary:
             for j in some:
                 if len(codes[j]) == k + 1:
                     id_[np.searchsorted(key, h[j])] = pieces[j][1]
-            self.levels.append((key, id_))
+            self.levels.append(Level(key, id_))
+
+
+class Level:
+    """The prefixes of one length in a hash table of one place for each slot; the few that find theirs taken are searched for."""
+
+    def __init__(self, key: np.ndarray, id_: np.ndarray):
+        self.shift = np.uint64(64 - max(4, int(4 * len(key)).bit_length()))
+        slot = self._slot(key)
+        got, first = np.unique(slot, return_index=True)
+        self.key = np.full(1 << (64 - int(self.shift)), FULL, np.uint64)
+        self.id = np.full(len(self.key), -1, np.int32)
+        self.key[got], self.id[got] = key[first], id_[first]
+        rest = np.ones(len(key), bool)
+        rest[first] = False
+        self.more = np.zeros(len(self.key), bool)
+        self.more[slot[rest]] = True
+        self.rest, self.rest_id = key[rest], id_[rest]  # in the order of keys, as they came
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h * SPREAD >> self.shift).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are those of prefixes, and the piece of each of these (-1: it is none)."""
+        slot = self._slot(h)
+        ok, id_ = self.key[slot] == h, self.id[slot]
+        late = np.flatnonzero(self.more[slot] & ~ok)
+        if len(late):
+            i = np.minimum(np.searchsorted(self.rest, h[late]), len(self.rest) - 1)
+            hit = self.rest[i] == h[late]
+            ok[late[hit]], id_[late[hit]] = True, self.rest_id[i[hit]]
+        return ok, id_[ok]
 
 
 class Lattices:
-    """Lattices of known units. All edges of a node stand together, the most probable first, with the probability
+    """Lattices of known units, those met first for good. All edges of a node stand together, the most probable first, with the probability
     cumulated up to each: a walk takes the first edge that exceeds a uniform number, mostly the first of all."""
 
     def __init__(self, vocab: Vocabulary, most: int = EDGES):
@@ -117,6 +149,7 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
+        self.kept: tuple[int, int, int] | None = None
         self.known: dict[str, int] = defaultdict(count().__next__)
         self.root = np.zeros(0, np.int64)
         self.edge_at = np.zeros(1, np.int64)
@@ -126,7 +159,7 @@ class Lattices:
     def of(self, units, n: int) -> np.ndarray:
         """Root node of each of n units."""
         if len(self.cum) > self.most:
-            self.clear()
+            self._forget()
         known = self.known
         before = len(known)
         ids = np.fromiter(map(known.__getitem__, units), np.int64, n)
@@ -139,8 +172,19 @@ class Lattices:
                 b = max(a + 1, min(b, a + 50_000))
                 self._add(fresh[a:b])
                 a = b
+                if 2 * len(self.cum) <= self.most:
+                    self.kept = len(self.root), len(self.edge_at), len(self.cum)
         return self.root[ids]
 
+    def _forget(self) -> None:
+        """Forgets all units but those met first, among which the frequent ones are; an edge leads to no other unit's node."""
+        if self.kept is None:
+            return self.clear()
+        units, nodes, edges = self.kept
+        self.known = defaultdict(count(units).__next__, islice(self.known.items(), units))
+        self.root, self.edge_at = self.root[:units].copy(), self.edge_at[:nodes].copy()
+        self.cum, self.logp, self.rest, self.next, self.node, self.id = (x[:edges].copy() for x in (self.cum, self.logp, self.rest, self.next, self.node, self.id))
+
     def _add(self, units: list[str]) -> None:
         v = self.vocab
         code = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -152,35 +196,44 @@ class Lattices:
         order = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left, kind="stable")
         rank = np.empty(n, np.int32)
         rank[order] = np.arange(n, dtype=np.int32)
-        # the piece of each node and length, in rows of nodes, so that edges come out by node
-        table = np.full((n, v.longest), NONE, np.int32)
+        # the pieces that begin at each node, by length
+        single, longer = np.full(n, NONE, np.int32), []
+        each = np.ones(n, np.int64)
         at, h = np.arange(n, dtype=np.int32), np.zeros(n, np.uint64)
-        for k, (key, id_) in enumerate(v.levels):
+        for k, level in enumerate(v.levels):
             if k:
                 ok = left[at] > k
                 at, h = at[ok], h[ok]
             if not len(at):
                 break
             h = h * BASE + code[at + k] + np.uint64(1)
-            i = np.minimum(np.searchsorted(key, h), len(key) - 1)
-            ok = key[i] == h
-            at, h, i = at[ok], h[ok], id_[i[ok]]
+            ok, i = level.find(h)
+            at, h = at[ok], h[ok]
             piece = i >= 0
-            table[rank[at[piece]], k] = i[piece]
-        odd = np.flatnonzero(table[rank, 0] == NONE)  # no piece has the character: its bytes
+            from_ = rank[at[piece]]
+            if k:
+                longer.append((k + 1, from_, i[piece]))
+                each[from_] += 1
+            else:
+                single[from_] = i[piece]
+        odd = np.flatnonzero(single[rank] == NONE)  # no piece has the character: its bytes
         c = code[odd].astype(np.int64)
-        table[rank[odd], 0] = np.where(c < 128, v.bytes_[np.minimum(c, 127)], -c - 1)
-        flat = np.flatnonzero(table.ravel() != NONE)
-        e_id = table.ravel()[flat]
-        node, e_len = flat // v.longest, flat % v.longest + 1
-        del table
+        single[rank[odd]] = np.where(c < 128, v.bytes_[np.minimum(c, 127)], -c - 1)
+        # edges by node, then by length
+        first = np.append(0, np.cumsum(each))
+        node = np.repeat(np.arange(n), each)
+        free = first[:-1].copy()
+        e_id, e_len = np.empty(first[-1], np.int32), np.ones(first[-1], np.int64)
+        e_id[free] = single
+        for size_, from_, i in longer:
+            free[from_] += 1
+            e_id[free[from_]], e_len[free[from_]] = i, size_
         e_w = v.weight[np.maximum(e_id, 0)]
         wide = np.flatnonzero(e_id < 0)
         c = -e_id[wide].astype(np.int64) - 1
         e_w[wide] = v.floor * (2 + (c > 0x7FF) + (c > 0xFFFF))
         to = order[node] + e_len
         to = np.where(e_len == left[order[node]], -1, rank[np.minimum(to, n - 1)])
-        first = np.append(np.flatnonzero(np.append(True, node[1:] != node[:-1])), len(node))
         beta = np.zeros(len(code) + 1)  # the last one, of -1, is that of the end
         total = e_w.copy()
         steps = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2))

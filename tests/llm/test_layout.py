@@ -167,6 +167,34 @@ def test_lattices_built_some_units_at_a_time_are_the_same(vocab, prose, monkeypa
     assert np.allclose([x[1] for t in small for x in t], [x[1] for t in whole for x in t])
 
 
+def test_prefix_tables_find_what_is_there_and_nothing_else(vocab):
+    r = np.random.default_rng(3)
+    for n in (1, 2, 50, 5000):
+        key = np.unique(np.append(r.integers(1, 1 << 63, n, dtype=np.uint64), np.uint64(5)))
+        level = lattice.Level(key, np.arange(len(key), dtype=np.int32) - 1)
+        h = np.concatenate([key, key + np.uint64(1), r.integers(1, 1 << 63, 3000, dtype=np.uint64)])
+        ok, id_ = level.find(h)
+        where = {int(x): i - 1 for i, x in enumerate(key)}
+        assert ok.tolist() == [int(x) in where for x in h] and id_.tolist() == [where[int(x)] for x in h if int(x) in where]
+        assert n < 5000 or len(level.rest) > 100
+
+
+def test_forgotten_units_change_nothing(vocab, prose):
+    units = [lattice.units_of(prose(i % 5, 30) + "".join(f" once{i * 7919 + j}" for j in range(20))) for i in range(60)]
+    keys = lattice._mix(np.arange(len(units), dtype=np.uint64) * lattice.BASE)
+
+    def ids(lat):
+        out = []
+        for i in range(0, 60, 3):
+            out += [[lat.ids(x[0]).tolist() for x in t] for t in lattice.sample(lat, keys[i : i + 3], units[i : i + 3], 2)]
+        return out
+
+    small, forgot = lattice.Lattices(vocab, 8000), []
+    forget, small._forget = small._forget, lambda: forgot.append(small.kept) or forget()
+    assert ids(small) == ids(lattice.Lattices(vocab)) and len([x for x in forgot if x]) > 1
+    assert ids(lattice.Lattices(vocab, 10)) == ids(lattice.Lattices(vocab))
+
+
 def test_sampling_is_exact(vocab):
     units = lattice.units_of("on the")
     every = [(a + b, x + y) for (a, x), (b, y) in itertools.product(*(segmentations(vocab, u) for u in units))]
