@@ -163,5 +163,9 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, spans = with_spans(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
     base = F.filter(spans, lambda s: s["kind"] < len(BASE))
-    counts = [F.size(F.filter(spans, lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k.name}") for i, k in enumerate(BASE)]
+
+    def count(i: int) -> Column:
+        return F.size(F.filter(spans, lambda s: s["kind"] == i)).cast("long")  # of one parameter: Spark would give a second the element's place
+
+    counts = [count(i).alias(f"n_{k.name}") for i, k in enumerate(BASE)]
     return df.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col(spans)).alias("spans"), F.transform(spans, lambda s: s["score"]).alias("scores"))

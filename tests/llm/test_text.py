@@ -39,6 +39,16 @@ def test_pii_base_spans(make):
     assert pii.find(make([])).count() == 0
 
 
+def test_pii_query_counts_each_kind(spark, make, tmp_path):
+    texts = [*PII, "a@b.c d@e.f and 1.2.3.4", "+49 30 1234567 then +49 30 7654321", "x 4111111111111111, 4111111111111111 a@b.c"]
+    make(list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    for r in pii.op3(spark, str(tmp_path)).collect():
+        want = base_spans(texts[r.doc_id])
+        kinds = Counter(k for k, _, _ in want)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(kinds[k] for k in ("email", "ip", "card", "phone")), r.doc_id
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest(), r.doc_id
+
+
 def test_pii_scores_and_checks(spark, make):
     near, far = (r.spans[0].score for r in pii.find(make([(1, "call my phone +1 555 555 1234"), (2, "xyz +1 555 555 1234")])).orderBy("doc_id").collect())
     assert near > far > 0
