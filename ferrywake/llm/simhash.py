@@ -11,12 +11,15 @@ other; fewer words than a shingle make one shingle; repeated shingles count each
 exactly half the hashes is 0; a null doc_id keeps its row and the component of its fingerprint (null if
 no row of the component has an id). An empty table gives no rows. Extra columns are ignored.
 
-The pipeline's stage (dissimilar) asks for more than a Hamming distance of 64 bits can tell: every pair of a Jaccard
-similarity of 0.8 over five-word shingles, which differ in about ten bits and often more. There the blocks on which
-close pairs must meet are bands of least hashes instead (a pair at 0.8 shares one of 24 bands of 5 with probability
-0.99993), and each meeting is verified by counting shingles. Sets that are equal are one class; the classes of a bucket
-meet its first class, and those that this leaves in different components meet each other in blocks: no task holds
-more than two blocks, however large the bucket. Texts without words are one class.
+The pipeline's stage (dissimilar) asks for more than 64 bits and a radius of 4 can tell: every pair of a Jaccard
+similarity of 0.8 over five-word shingles. Their fingerprints are the same majorities, of 4096 bits: bits differ in a share
+of at most 0.16 at 0.8 (0.19 where a set has under 8 shingles). Fingerprints are joined on blocks of 12 bits, each meeting
+is verified by the Hamming distance in 128 further bits, and what is left by counting shingles. A pair at 0.8 agrees in one
+of the 74 blocks (112 for sets under 16 shingles) and passes the distance with probability 0.9999 or more. Sets that are
+equal are one class; classes that close fingerprints connect within a bucket are a group, whose classes are compared with
+its first class, and those that this leaves in different components with each other in blocks: no task holds more
+than two blocks, however large the group. A bucket of over `held` classes is one group, unheld. Texts without words are one
+class; sets too small to be similar to a different one have no blocks.
 """
 
 from __future__ import annotations
@@ -210,6 +213,18 @@ def near_components(docs: DataFrame, shingle: int = 4, bits: int = 4, blocks: in
 PIECE = 1 << 20
 ODD = 0x9E3779B97F4A7C15
 MIX = np.uint64(0xD6E8FEB86659FD93)
+#: Bits of the fingerprints of shingle sets; those that distances are taken of; those of a block; how many blocks are joined.
+PLACES = 4096
+SEEN = 128
+KEY = 12
+TABLES = 74
+APART = 38
+#: The same for sets of few shingles, whose majorities are less steady.
+FEW = 16
+FEW_TABLES = 112
+FEW_APART = 46
+#: Classes of a bucket held by a task.
+HELD = 1 << 16
 #: Members compared with their group's first in one task, and texts compared with each other at once (twice that many).
 MEMBERS = 1024
 BLOCK = 256
@@ -224,7 +239,7 @@ _tables: dict[str, np.ndarray] = {}
 
 def _word_hashes(line: bytes) -> np.ndarray:
     """A polynomial hash of each word of a line of words with one space between."""
-    if not _tables:
+    if "byte" not in _tables:
         rng = np.random.Generator(np.random.Philox(key=42))
         _tables.update(byte=rng.integers(0, 1 << 63, 256, dtype=np.uint64), up=_powers(ODD, 2 * PIECE), down=_powers(pow(ODD, -1, 1 << 64), 2 * PIECE))
     out, at = [], 0
@@ -268,39 +283,146 @@ def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
     return out
 
 
-def _bands(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
-    """One key for each set and band: a hash of the least values of the band's permutations over the set."""
-    rng = np.random.Generator(np.random.Philox(key=42))
-    mul, add = (x.astype(np.uint32) for x in rng.integers(0, 1 << 32, (2, bands * rows), dtype=np.uint64))
-    mul |= np.uint32(1)
-    least = np.full((len(sets), bands * rows), (1 << 32) - 1, np.uint32)
-    for j, h in enumerate(sets):
-        for i in range(0, len(h), 1024):
-            x = (h[i : i + 1024] >> np.uint64(32)).astype(np.uint32)[:, None] * mul
-            x += add
-            x ^= x >> np.uint32(15)
-            x *= np.uint32(0x2C1B3C6D)
-            x ^= x >> np.uint32(13)
-            np.minimum(least[j], x.min(axis=0), out=least[j])
-    key = np.zeros((len(sets), bands), np.uint64)
-    for r in range(rows):
-        key = (key ^ least[:, r::rows][:, :bands].astype(np.uint64)) * np.uint64(ODD)
-        key ^= key >> np.uint64(32)
-    return key
-
-
-def shingled(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, thash, node, keys): a hash of the set of shingles, and the keys of its bands."""
+def signs(sets: list[np.ndarray]) -> np.ndarray:
+    """The fingerprint of each set of shingles: a bit is 1 if set in over half of its shingles.
+
+    Bit j of a shingle is the parity of j & (its hash's low bits), not flipped if its top bit is 1: so the sums of all bits
+    are a Walsh-Hadamard transform of the signed counts of the low bits."""
+    if "walsh" not in _tables:
+        n = np.arange(64)
+        _tables["walsh"] = 1 - 2 * (np.bitwise_count(n[:, None] & n) % 2).astype(np.float32)
+    walsh, out = _tables["walsh"], np.zeros((len(sets), PLACES), bool)
+    for i in range(0, len(sets), 64):
+        part = sets[i : i + 64]
+        flat = np.concatenate(part)
+        at = np.repeat(np.arange(len(part)) * PLACES, [len(x) for x in part]) + (flat & np.uint64(PLACES - 1)).astype(np.int64)
+        sums = np.bincount(at, 1.0 - 2.0 * (flat >> np.uint64(63)), len(part) * PLACES).astype(np.float32)
+        out[i : i + 64] = (walsh @ (sums.reshape(-1, 64) @ walsh).reshape(-1, 64, 64) > 0).reshape(-1, PLACES)
+    return out
+
+
+def marks(sets: list[np.ndarray], least: float) -> list[bytes | None]:
+    """Of each fingerprint the bits that distances are taken of, and the bits of each block as a short; none for sets
+    that cannot be similar to a different one."""
+    if "drawn" not in _tables:
+        _tables["drawn"] = np.random.Generator(np.random.Philox(key=42)).permutation(PLACES)
+    drawn, bits = _tables["drawn"], signs(sets)
+    seen = np.packbits(bits[:, drawn[:SEEN]], axis=1)
+    blocks = bits[:, drawn[SEEN : SEEN + FEW_TABLES * KEY]].reshape(-1, FEW_TABLES, KEY) @ (1 << np.arange(KEY)).astype(np.int16)
+    return [None if len(x) < least * (len(x) + 1) else s.tobytes() + b[: FEW_TABLES if len(x) < FEW else TABLES].tobytes() for x, s, b in zip(sets, seen, blocks)]
+
+
+def shingled(docs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(doc_id, thash, node, mark): a hash of the set of shingles, and what is joined of its fingerprint."""
 
     def of(batches):
         for b in slices(batches):
             sets = shingle_sets(texts_of(b.column(2)), shingle)
             node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(_bands(sets, bands, rows).view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), keys], ["doc_id", "thash", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(marks(sets, least), pa.binary())], ["doc_id", "thash", "node", "mark"])
 
     texts = only(docs, "doc_id", "text").select("doc_id", text_hash().alias("thash"), "text")
-    return texts.mapInArrow(of, "doc_id long, thash long, node long, keys array<long>")
+    return texts.mapInArrow(of, "doc_id long, thash long, node long, mark binary")
+
+
+def _blocks(batches):
+    """From (node, mark) a row of (key, node, s, t, few) for each block: the block's number and bits, the bits for distances."""
+    for b in slices(batches):
+        node, mark = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
+        size = np.array([len(m) for m in mark])
+        for n in np.unique(size):
+            mine = np.flatnonzero(size == n)
+            raw = np.frombuffer(b"".join([mark[i] for i in mine]), np.uint8).reshape(len(mine), n)
+            tables = (n - SEEN // 8) // 2
+            key = raw[:, SEEN // 8 :].copy().view(np.int16) + (np.arange(tables, dtype=np.int64) << KEY)
+            seen = raw[:, : SEEN // 8].copy().view(np.int64)
+            cols = [key.ravel(), *(np.repeat(x, tables) for x in (node[mine], seen[:, 0], seen[:, 1])), np.full(key.size, tables != TABLES)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["key", "node", "s", "t", "few"])
+
+
+def close_roots(seen: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """seen (2, n): an index for each of n fingerprints, equal for those connected by distances within APART (FEW_APART if one is of few shingles)."""
+    limit = np.where(few, FEW_APART, APART).astype(np.uint8)
+
+    def close(i, j):
+        return np.bitwise_count(seen[0, i, None] ^ seen[0, j]) + np.bitwise_count(seen[1, i, None] ^ seen[1, j]) <= np.maximum(limit[i, None], limit[j])
+
+    root, rest = np.arange(seen.shape[1]), np.arange(seen.shape[1])
+    if len(rest) <= BLOCK:
+        near = close(rest, rest)
+        if np.count_nonzero(near) == len(rest):
+            return root
+        a, b = np.nonzero(near)
+        return local_roots(len(rest), a, b)
+    while len(rest):
+        first, rest = rest[0], rest[1:]
+        todo = np.array([first])
+        while len(todo) and len(rest):
+            met = close(todo[:BLOCK], rest).any(axis=0)
+            todo = np.append(todo[BLOCK:], rest[met])
+            root[rest[met]] = first
+            rest = rest[~met]
+    return root
+
+
+def _groups(most: int):
+    """Over rows (key, node, s, t, few) sorted by key: (bucket, node) for each group of several connected nodes of a key,
+    named by its nodes; a key of over `most` rows is one group, passed on unheld."""
+
+    def pack(name, node):
+        return pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(node, pa.int64())], ["bucket", "node"])
+
+    def whole(x):
+        return pack(np.full(x.shape[1], np.uint64(xxhash.xxh64_intdigest(x[0][:1].tobytes())).view(np.int64)), x[1])
+
+    def done(x):
+        at = runs(x[0])
+        names, nodes = [], []
+        for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+            if j - i > most:
+                yield whole(x[:, i:j])
+            elif j - i > 1:
+                root = close_roots(x[2:4, i:j].view(np.uint64), x[4, i:j] != 0)
+                if np.array_equal(root, np.arange(j - i)):
+                    continue
+                order = np.lexsort((x[1, i:j], root))
+                ends = runs(root[order])
+                for a, b in zip(ends[:-1], ends[1:]):
+                    if b - a > 1:
+                        nodes.append(x[1, i:j][order[a:b]])
+                        names.append(np.full(b - a, np.uint64(xxhash.xxh64_intdigest(nodes[-1].tobytes())).view(np.int64)))
+        if nodes:
+            yield pack(np.concatenate(names), np.concatenate(nodes))
+
+    def work(batches):
+        held: list[np.ndarray] = []
+        large = None  # the key whose rows are being passed on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)])
+            if large is not None:
+                mine = x[0] == large
+                if mine.any():
+                    yield whole(x[:, mine])
+                    x = x[:, ~mine]
+                if not x.shape[1]:
+                    continue
+                large = None
+            if held:
+                x = np.concatenate([held.pop(), x], axis=1)
+            last = runs(x[0])[-2]
+            yield from done(x[:, :last])
+            rest = x[:, last:]
+            if rest.shape[1] > most:
+                large = rest[0][0]
+                yield whole(rest)
+            else:
+                held.append(rest)
+        if held:
+            yield from done(held.pop())
+
+    return work
 
 
 def _alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -379,13 +501,14 @@ def _with_others(shingle: int, least: float):
     return work
 
 
-def similar_links(docs: DataFrame, classes: DataFrame, shingle: int, least: float, most: int = MEMBERS, block: int = BLOCK) -> DataFrame:
-    """classes (node, one, keys). Links (node, to) whose components are those of all pairs that meet in a band and are alike.
+def similar_links(docs: DataFrame, classes: DataFrame, shingle: int, least: float, most: int = MEMBERS, block: int = BLOCK, held: int = HELD) -> DataFrame:
+    """classes (node, one, mark). Links (node, to) whose components are those of all pairs whose fingerprints meet and are close, and that are alike.
 
-    Each class is compared with the first of its bucket, in parts of `most`; only where that leaves a bucket of several
+    Each class is compared with the first of its group, in parts of `most`; only where that leaves a group of several
     components are its other pairs of different components compared, in blocks of `block`."""
     p = partitions(docs.sparkSession)
-    keyed = classes.select("node", F.posexplode("keys").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
+    joined = classes.where("mark IS NOT NULL").select("node", "mark").mapInArrow(_blocks, "key long, node long, s long, t long, few boolean")
+    keyed = stash(joined.repartition(p, "key").sortWithinPartitions("key").mapInArrow(_groups(held), "bucket long, node long").distinct())
     several = keyed.groupBy("bucket").agg(F.min("node").alias("to"), F.count("*").alias("n")).where("n > 1")
     inside = stash(keyed.join(several.hint("merge"), "bucket"))
     star = stash(inside.where("node <> to").select("node", "to").distinct())
@@ -393,10 +516,10 @@ def similar_links(docs: DataFrame, classes: DataFrame, shingle: int, least: floa
     none = F.lit(NO_ID)
     need = star.select("node").union(star.select(F.col("to").alias("node"))).distinct().join(classes.select("node", "one").hint("merge"), "node")
     texts = docs.select(text_hash().alias("th"), F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), "text")
-    held = stash(texts.join(need.select("node", F.col("one.thash").alias("th"), F.col("one.id").alias("id")).hint("merge"), ["th", "id"]).select("node", "text").dropDuplicates(["node"]))
+    kept = stash(texts.join(need.select("node", F.col("one.thash").alias("th"), F.col("one.id").alias("id")).hint("merge"), ["th", "id"]).select("node", "text").dropDuplicates(["node"]))
     members = star.join(sized.hint("merge"), "to").select("to", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("chunk"), "node")
-    members = members.join(held.hint("merge"), "node").select("to", "chunk", F.lit(1).alias("role"), "node", "text")
-    firsts = sized.join(held.withColumnRenamed("node", "to").hint("merge"), "to").select("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("chunk"), F.lit(0).alias("role"), F.col("to").alias("node"), "text")
+    members = members.join(kept.hint("merge"), "node").select("to", "chunk", F.lit(1).alias("role"), "node", "text")
+    firsts = sized.join(kept.withColumnRenamed("node", "to").hint("merge"), "to").select("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("chunk"), F.lit(0).alias("role"), F.col("to").alias("node"), "text")
     rows = firsts.union(members).repartition(p, "to", "chunk").sortWithinPartitions("to", "chunk", "role")
     links = stash(rows.mapInArrow(_with_first(shingle, least), "node long, to long"))
     named = inside.join(components(links).hint("merge"), "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("label"))
@@ -405,18 +528,18 @@ def similar_links(docs: DataFrame, classes: DataFrame, shingle: int, least: floa
     open_ = named.join(mixed.hint("merge"), "bucket")
     blocks = F.ceil(F.col("n") / block).cast("int")
     dealt = open_.select("bucket", "node", "label", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
-    dealt = dealt.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "label", "node").join(held.hint("merge"), "node")
+    dealt = dealt.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "label", "node").join(kept.hint("merge"), "node")
     dealt = dealt.select("bucket", "i", "j", "block", "label", "node", "text").repartition(p, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
     return links.union(stash(dealt.mapInArrow(_with_others(shingle, least), "node long, to long")))
 
 
-def similar_components(docs: DataFrame, shingle: int, least: float, bands: int, rows: int, most: int = MEMBERS, block: int = BLOCK) -> DataFrame:
+def similar_components(docs: DataFrame, shingle: int, least: float, most: int = MEMBERS, block: int = BLOCK, held: int = HELD) -> DataFrame:
     """(doc_id, thash, component_id) for each document: components of the texts whose sets of shingles have a Jaccard
-    similarity of `least` or more, of all pairs that agree in a band."""
-    found = stash(shingled(docs, shingle, bands, rows))
+    similarity of `least` or more, of all pairs whose fingerprints meet and are close."""
+    found = stash(shingled(docs, shingle, least))
     one = F.struct("thash", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
-    classes = stash(found.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(one).alias("one"), F.min("keys").alias("keys")))
-    reach = components(similar_links(docs, classes.select("node", "one", "keys"), shingle, least, most, block))
+    classes = stash(found.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(one).alias("one"), F.min("mark").alias("mark")))
+    reach = components(similar_links(docs, classes.select("node", "one", "mark"), shingle, least, most, block, held))
     member = stash(classes.select("node", "rep").join(reach.hint("merge"), "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root")))
     named = with_least(member).select("node", "component_id")
     return found.select("doc_id", "thash", "node").join(named.hint("merge"), "node").select("doc_id", "thash", "component_id")
@@ -437,9 +560,9 @@ def survivors(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
     return _one_of_each(docs, near_components(docs, shingle, bits))
 
 
-def dissimilar(docs: DataFrame, shingle: int = 5, least: float = 0.8, bands: int = 24, rows: int = 5, most: int = MEMBERS, block: int = BLOCK) -> DataFrame:
+def dissimilar(docs: DataFrame, shingle: int = 5, least: float = 0.8, most: int = MEMBERS, block: int = BLOCK, held: int = HELD) -> DataFrame:
     """One document of each component of texts whose sets of shingles have a Jaccard similarity of `least` or more."""
-    return _one_of_each(docs, similar_components(docs, shingle, least, bands, rows, most, block))
+    return _one_of_each(docs, similar_components(docs, shingle, least, most, block, held))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,6 +101,45 @@ def test_pipeline_keeps_no_similar_texts(make, prose, limits):
     assert len(set(near)) > len([d for d in ids if d is not None and d < 400])
 
 
+def test_fingerprints_of_shingle_sets():
+    rng = np.random.default_rng(6)
+    hashes = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
+    sets = [np.unique(hashes[:n]) for n in (0, 1, 4, 5, 40, 81, 300)]
+    got = simhash.signs(sets)
+    for x, bits in zip(sets, got):
+        for j in (0, 1, 77, 1234, 4095):
+            ones = sum((int(h) >> 63 ^ (int(h) & 4095 & j).bit_count() & 1) == 0 for h in x)
+            assert bits[j] == (ones * 2 > len(x))
+    others = [np.unique(rng.integers(0, 1 << 64, 200, dtype=np.uint64)) for _ in range(40)]
+    near = [np.unique(np.append(x[:180], rng.integers(0, 1 << 64, 22, dtype=np.uint64))) for x in others]
+    a, b = simhash.signs(others), simhash.signs(near)
+    assert (a != b).mean(axis=1).max() < 0.18 and (a[1:] != b[:-1]).mean(axis=1).min() > 0.4
+    assert [m is None for m in simhash.marks(sets, 0.8)] == [True, True, False, False, False, False, False]
+
+
+@pytest.mark.parametrize("n", [40, 700])
+def test_close_fingerprints_against_all_pairs(n):
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 1 << 64, (2, n // 4), dtype=np.uint64)
+    seen = base[:, rng.integers(0, n // 4, n)]
+    for _ in range(26):
+        seen ^= np.uint64(1) << rng.integers(0, 64, (2, n)).astype(np.uint64) * (rng.random((2, n)) < 0.5)
+    few = rng.random(n) < 0.3
+    d = np.bitwise_count(seen[:, :, None] ^ seen[:, None]).sum(axis=0)
+    links = np.argwhere(d <= np.where(few[:, None] | few, simhash.FEW_APART, simhash.APART)).tolist()
+    assert simhash.close_roots(seen, few).tolist() == closed(n, links) and n < len(links) < n * n
+
+
+def test_pipeline_pairs_come_by_fingerprints(make, prose, monkeypatch):
+    """Of similar texts that no close fingerprints join, all stay; equal sets of shingles are one class without."""
+    base = prose(3, 300)
+    rows = [(0, base), (1, edited(base, 1, 1)), (2, base.upper())]
+    assert [r.doc_id for r in simhash.dissimilar(make(rows)).collect()] == [0]
+    assert [r.doc_id for r in simhash.dissimilar(make(rows), held=1).collect()] == [0]  # whole buckets, unheld
+    monkeypatch.setattr(simhash, "_blocks", lambda batches: iter(()))
+    assert sorted(r.doc_id for r in simhash.dissimilar(make(rows)).collect()) == [0, 1]
+
+
 def test_similar_sets_against_all_pairs():
     rng = np.random.default_rng(4)
     base = [np.unique(rng.integers(0, 1 << 62, 100)) for _ in range(5)]
