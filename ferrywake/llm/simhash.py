@@ -17,9 +17,14 @@ of at most 0.16 at 0.8 (0.19 where a set has under 8 shingles). Fingerprints are
 is verified by the Hamming distance in 128 further bits, and what is left by counting shingles. A pair at 0.8 agrees in one
 of the 74 blocks (112 for sets under 16 shingles) and passes the distance with probability 0.9999 or more. Sets that are
 equal are one class; classes that close fingerprints connect within a bucket are a group, whose classes are compared with
-its first class, and those that this leaves in different components with each other in blocks: no task holds more
-than two blocks, however large the group. A bucket of over `held` classes is one group, unheld. Texts without words are one
-class; sets too small to be similar to a different one have no blocks.
+its middle one (the nearest to the majority of their bits). Groups that this leaves in several components are joined to one
+for each component that most of them is of, and its pairs of different components are found by what they must share: ordered
+with the shingles of the component's middle last, two similar sets have a shingle of their first fifths in common. A class
+goes there with that fifth only, once for each part that its shingles are dealt to, never once for each block of others. The
+pairs so found, of fingerprints not too far apart as a whole, are compared. The classes under a shingle that leaves more than
+`hot` pairs a class, by size and place, are a group of the next round; groups still open after ROUNDS rounds are compared in
+blocks, whole. A bucket of over `held` classes is one group, unheld. Texts without words are one class; sets too small to be
+similar to a different one have no blocks.
 """
 
 from __future__ import annotations
@@ -228,6 +233,14 @@ HELD = 1 << 16
 #: Members compared with their group's first in one task, and texts compared with each other at once (twice that many).
 MEMBERS = 1024
 BLOCK = 256
+#: Characters of the texts whose first shingles are met in one task; pairs looked at for each class under a shingle.
+PART = 1 << 18
+HOT = 64
+#: Most bits of the distance and of all blocks joined, SEEN + TABLES * KEY, in which sets at 0.8 differ: six deviations over the mean.
+WORDS = 21
+FAR = 233
+FEW_FAR = 268
+ROUNDS = 4
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -365,19 +378,32 @@ def close_roots(seen: np.ndarray, few: np.ndarray) -> np.ndarray:
     return root
 
 
-def _groups(most: int):
-    """Over rows (key, node, s, t, few) sorted by key: (bucket, node) for each group of several connected nodes of a key,
-    named by its nodes; a key of over `most` rows is one group, passed on unheld."""
+def _group(node: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, node, to) of a group: its name, its nodes and the one nearest to the majority of their bits (2, n)."""
+    if len(node) == 2:
+        middle = 0
+    else:
+        bits = np.unpackbits(np.ascontiguousarray(seen.T).view(np.uint8), axis=1)
+        middle = (bits != (bits.sum(axis=0, dtype=np.int64) * 2 > len(bits))).sum(axis=1).argmin()
+    name = np.uint64(xxhash.xxh64_intdigest(node.tobytes())).view(np.int64)
+    return np.full(len(node), name), node, np.full(len(node), node[middle])
+
+
+def _packed(found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*found)], ["bucket", "node", "to"])
 
-    def pack(name, node):
-        return pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(node, pa.int64())], ["bucket", "node"])
+
+def _groups(most: int):
+    """Over rows (key, node, s, t, few) sorted by key: (bucket, node, to) for each group of several connected nodes of a key,
+    named by its nodes, with its middle one; a key of over `most` rows is one group, passed on unheld, of no middle."""
 
     def whole(x):
-        return pack(np.full(x.shape[1], np.uint64(xxhash.xxh64_intdigest(x[0][:1].tobytes())).view(np.int64)), x[1])
+        name = np.full(x.shape[1], np.uint64(xxhash.xxh64_intdigest(x[0][:1].tobytes())).view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(name), pa.array(x[1]), pa.nulls(len(name), pa.int64())], ["bucket", "node", "to"])
 
     def done(x):
         at = runs(x[0])
-        names, nodes = [], []
+        found = []
         for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
             if j - i > most:
                 yield whole(x[:, i:j])
@@ -389,10 +415,9 @@ def _groups(most: int):
                 ends = runs(root[order])
                 for a, b in zip(ends[:-1], ends[1:]):
                     if b - a > 1:
-                        nodes.append(x[1, i:j][order[a:b]])
-                        names.append(np.full(b - a, np.uint64(xxhash.xxh64_intdigest(nodes[-1].tobytes())).view(np.int64)))
-        if nodes:
-            yield pack(np.concatenate(names), np.concatenate(nodes))
+                        found.append(_group(x[1, i:j][order[a:b]], x[2:4, i:j][:, order[a:b]]))
+        if found:
+            yield _packed(found)
 
     def work(batches):
         held: list[np.ndarray] = []
@@ -452,6 +477,132 @@ def _with_first(shingle: int, least: float):
     return work
 
 
+def heads(size: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of sets in one order of all shingles, how many of the first ones hold the first that it has in common with a similar
+    set: with one not smaller, and with any."""
+    return (size - np.ceil(2 * least / (1 + least) * size - 1e-6) + 1).astype(np.int64), (size - np.ceil(least * size - 1e-6) + 1).astype(np.int64)
+
+
+HEAD = {"to": pa.int64(), "part": pa.int64(), "node": pa.int64(), "label": pa.int64(), "mark": pa.binary(), "size": pa.int64(), "head": pa.binary()}
+
+
+def _heads(shingle: int, least: float):
+    """Over rows (to, chunk, role, node, label, parts, mark, text) in this order: (to, part, node, label, mark, size, head), the
+    first shingles of each member (role 1) with their places; the shingles of its group's middle (role 0) come last."""
+
+    def work(batches):
+        last, at = np.zeros(0, np.uint64), None
+        for b in slices(batches):
+            out = []
+            for *row, x in zip(*(b.column(i).to_pylist() for i in range(7)), shingle_sets(texts_of(b.column(7)), shingle)):
+                to, chunk, role, node, label, parts, mark = row
+                if role == 0:
+                    last, at = x, (to, chunk)
+                elif (to, chunk) == at:
+                    late = last[np.minimum(np.searchsorted(last, x), len(last) - 1)] == x
+                    head = np.concatenate([x[~late], x[late]])[: heads(np.array(len(x)), least)[1]]
+                    part = (head % np.uint64(parts)).astype(np.int64)
+                    for k in np.unique(part).tolist():
+                        mine = np.flatnonzero(part == k)
+                        out.append((to, k, node, label, mark, len(x), head[mine].tobytes() + mine.astype(np.int32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(HEAD.values())], list(HEAD))
+
+    return work
+
+
+def meetings(node: np.ndarray, label: np.ndarray, mark: np.ndarray, size: np.ndarray, head: list[bytes], least: float, hot: int) -> tuple[np.ndarray, list[tuple]]:
+    """Pairs (2, n) of nodes of different labels that may be similar, by the first shingle that they have in common and by
+    their fingerprints (mark: rows of WORDS longs); and the group of all nodes of each shingle that leaves over `hot` pairs a
+    node to look at, not counting those within the most frequent label."""
+    n = np.array([len(x) // 12 for x in head])
+    owner = np.repeat(np.arange(len(n)), n)
+    token = np.frombuffer(b"".join([x[: 8 * k] for x, k in zip(head, n.tolist())]), np.uint64)
+    place = np.frombuffer(b"".join([x[8 * k :] for x, k in zip(head, n.tolist())]), np.int32).astype(np.int64)
+    order = np.lexsort((node[owner], token))
+    owner, token, place = owner[order], token[order], place[order]
+    short = heads(size, least)[0]
+    need = least / (1 + least)
+    pairs, groups = [np.zeros((2, 0), np.int64)], []
+
+    def keep(i, j):
+        """Of pairs of places in the sorted shingles."""
+        a, b = owner[i], owner[j]
+        mine = label[a] != label[b]
+        i, j, a, b = i[mine], j[mine], a[mine], b[mine]
+        enough = np.minimum(size[a] - place[i], size[b] - place[j]) >= need * (size[a] + size[b]) - 1e-6
+        near = np.minimum(size[a], size[b]) >= least * np.maximum(size[a], size[b]) - 1e-6
+        ahead = (size[a] <= size[b]) & (place[i] < short[a]) | (size[b] <= size[a]) & (place[j] < short[b])
+        mine = enough & near & ahead
+        a, b = a[mine], b[mine]
+        apart = np.zeros(len(a), np.int64)
+        for w in range(WORDS):
+            apart += np.bitwise_count(mark[a, w] ^ mark[b, w])
+        mine = apart <= np.where(np.minimum(size[a], size[b]) < FEW, FEW_FAR, FAR)
+        x = np.stack([node[a[mine]], node[b[mine]]])
+        pairs.append(np.stack([x.max(axis=0), x.min(axis=0)]))
+        if len(pairs) > 1024:
+            pairs[:] = [np.unique(np.concatenate(pairs, axis=1), axis=1)]
+
+    at = runs(token)
+    count = np.diff(at)
+    few = np.repeat(count <= hot, count)
+    for lag in range(1, int(count[count <= hot].max(initial=1))):
+        i = np.flatnonzero(few[lag:] & (token[lag:] == token[:-lag]))
+        keep(i, i + lag)
+    for k in np.flatnonzero(count > hot).tolist():
+        every = np.arange(at[k], at[k + 1])
+        labels, which, many = np.unique(label[owner[every]], return_inverse=True, return_counts=True)
+        order = np.argsort(size[owner[every]], kind="stable")
+        by_size, lesser = every[order], which[order] != many.argmax()
+        sizes = size[owner[by_size]]
+        start = np.searchsorted(sizes, least * sizes - 1e-6)
+        stop = np.searchsorted(sizes, (sizes - place[by_size]) / need - sizes + 1e-5, "right")  # larger ones have too little in common
+        others = np.where(lesser, np.maximum(stop - start, 0), 0)
+        if others.sum() > hot * len(every):
+            groups.append(_group(node[owner[every]], mark[owner[every], :2].T))
+            continue
+        ends = np.cumsum(others)
+        for low in range(0, int(ends[-1]), 1 << 20):
+            nth = np.arange(low, min(low + (1 << 20), int(ends[-1])))
+            i = np.searchsorted(ends, nth, "right")
+            keep(by_size[i], by_size[start[i] + nth - (ends - others)[i]])
+    return np.unique(np.concatenate(pairs, axis=1), axis=1), groups
+
+
+def _meetings(least: float, hot: int):
+    """Over rows as of _heads, sorted by to and part: (bucket, node, to), with no bucket for a pair to compare."""
+
+    width = SEEN // 8 + 2 * TABLES
+
+    def work(batches):
+        held: list[pa.RecordBatch] = []
+
+        def done():
+            t = pa.Table.from_batches(held).combine_chunks()
+            mark = np.frombuffer(b"".join([x[: width].ljust(8 * WORDS, b"\0") for x in t.column("mark").to_pylist()]), np.uint64).reshape(-1, WORDS)
+            pairs, groups = meetings(t.column("node").to_numpy(), t.column("label").to_numpy(), mark, t.column("size").to_numpy(), t.column("head").to_pylist(), least, hot)
+            yield pa.RecordBatch.from_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[0]), pa.array(pairs[1])], ["bucket", "node", "to"])
+            if groups:
+                yield _packed(groups)
+
+        now = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            to, part = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            at = runs(to, part)
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+                if (to[i], part[i]) != now:
+                    if held:
+                        yield from done()
+                    held, now = [], (to[i], part[i])
+                held.append(b.slice(i, j - i))
+        if held:
+            yield from done()
+
+    return work
+
+
 def like_pairs(sets: list[np.ndarray], label: np.ndarray, half: np.ndarray, least: float) -> list[tuple[int, int]]:
     """Pairs of a Jaccard similarity of `least` or more, of different labels and different halves (negative halves meet all)."""
     n = len(sets)
@@ -501,45 +652,71 @@ def _with_others(shingle: int, least: float):
     return work
 
 
-def similar_links(docs: DataFrame, classes: DataFrame, shingle: int, least: float, most: int = MEMBERS, block: int = BLOCK, held: int = HELD) -> DataFrame:
+def similar_links(docs: DataFrame, classes: DataFrame, shingle: int, least: float, most: int = MEMBERS, block: int = BLOCK, held: int = HELD, part: int = PART, hot: int = HOT, rounds: int = ROUNDS) -> DataFrame:
     """classes (node, one, mark). Links (node, to) whose components are those of all pairs whose fingerprints meet and are close, and that are alike.
 
-    Each class is compared with the first of its group, in parts of `most`; only where that leaves a group of several
-    components are its other pairs of different components compared, in blocks of `block`."""
+    Each class is compared with the middle of its group, in parts of `most`; where that leaves a group of several components,
+    those of its other pairs of different components are compared that share one of their first shingles."""
     p = partitions(docs.sparkSession)
     joined = classes.where("mark IS NOT NULL").select("node", "mark").mapInArrow(_blocks, "key long, node long, s long, t long, few boolean")
-    keyed = stash(joined.repartition(p, "key").sortWithinPartitions("key").mapInArrow(_groups(held), "bucket long, node long").distinct())
-    several = keyed.groupBy("bucket").agg(F.min("node").alias("to"), F.count("*").alias("n")).where("n > 1")
-    inside = stash(keyed.join(several.hint("merge"), "bucket"))
-    star = stash(inside.where("node <> to").select("node", "to").distinct())
-    sized = stash(star.groupBy("to").agg(F.ceil(F.count("*") / most).cast("int").alias("parts")))
+    keyed = stash(joined.repartition(p, "key").sortWithinPartitions("key").mapInArrow(_groups(held), "bucket long, node long, to long").distinct())
+    unheld = keyed.where("to IS NULL").groupBy("bucket").agg(F.min("node").alias("first"))
+    groups = stash(keyed.join(unheld.hint("merge"), "bucket", "left").select("bucket", "node", F.coalesce("to", "first").alias("to")))
     none = F.lit(NO_ID)
-    need = star.select("node").union(star.select(F.col("to").alias("node"))).distinct().join(classes.select("node", "one").hint("merge"), "node")
+    need = groups.select("node").distinct().join(classes.select("node", "one", "mark").hint("merge"), "node")
     texts = docs.select(text_hash().alias("th"), F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), "text")
-    kept = stash(texts.join(need.select("node", F.col("one.thash").alias("th"), F.col("one.id").alias("id")).hint("merge"), ["th", "id"]).select("node", "text").dropDuplicates(["node"]))
-    members = star.join(sized.hint("merge"), "to").select("to", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("chunk"), "node")
-    members = members.join(kept.hint("merge"), "node").select("to", "chunk", F.lit(1).alias("role"), "node", "text")
-    firsts = sized.join(kept.withColumnRenamed("node", "to").hint("merge"), "to").select("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("chunk"), F.lit(0).alias("role"), F.col("to").alias("node"), "text")
-    rows = firsts.union(members).repartition(p, "to", "chunk").sortWithinPartitions("to", "chunk", "role")
-    links = stash(rows.mapInArrow(_with_first(shingle, least), "node long, to long"))
-    named = inside.join(components(links).hint("merge"), "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("label"))
-    named = stash(named.where("n > 2"))  # the one pair of a bucket of two has been compared
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    open_ = named.join(mixed.hint("merge"), "bucket")
+    kept = stash(texts.join(need.select("node", "mark", F.col("one.thash").alias("th"), F.col("one.id").alias("id")).hint("merge"), ["th", "id"]).select("node", "mark", "text").dropDuplicates(["node"]))
+
+    def with_first(members: DataFrame, sized: DataFrame, *more: str) -> DataFrame:
+        """Members (node, to, ..) with their texts in parts of about `most`, the text of `to` before each part; sized (to, n, ..)."""
+        sized = sized.withColumn("chunks", F.ceil(F.col("n") / most).cast("int"))
+        rows = members.join(sized.hint("merge"), "to").withColumns({"chunk": F.pmod(F.xxhash64("node"), "chunks").cast("int"), "role": F.lit(1)}).join(kept.hint("merge"), "node")
+        first = sized.join(kept.withColumnRenamed("node", "to").hint("merge"), "to").withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "role": F.lit(0), "node": F.col("to"), "label": F.col("to")})
+        columns = ["to", "chunk", "role", "node", *more, "text"]
+        return first.select(columns).union(rows.select(columns)).repartition(p, "to", "chunk").sortWithinPartitions("to", "chunk", "role")
+
+    def compared(star: DataFrame) -> DataFrame:
+        star = stash(star.where("node <> to").select("node", "to").distinct())
+        return stash(with_first(star, stash(star.groupBy("to").agg(F.count("*").alias("n")))).mapInArrow(_with_first(shingle, least), "node long, to long"))
+
+    links = compared(groups)
+    for left in reversed(range(rounds + 1)):
+        root = components(links)
+        many = groups.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 2")  # the one pair of a group of two has been compared
+        named = stash(groups.join(many.hint("merge"), "bucket").join(root.hint("merge"), "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("label")))
+        # groups led by one component meet as one, by the class of that component that most were found like
+        liked = links.groupBy("to").agg(F.count("*").alias("by")).join(root.withColumnRenamed("node", "to").hint("merge"), "to", "left")
+        liked = liked.groupBy(F.coalesce("root", "to").alias("label")).agg(F.sum("by").alias("likes"), F.max(F.struct("by", "to"))["to"].alias("middle"))
+        shares = named.groupBy("bucket", "label").agg(F.count("*").alias("of")).join(liked.hint("merge"), "label", "left")
+        lead = F.max(F.struct("of", F.coalesce("likes", F.lit(0)), F.coalesce("middle", "label").alias("to")))["to"]
+        mixed = stash(shares.groupBy("bucket").agg(F.count("*").alias("labels"), lead.alias("to")).where("labels > 1").select("bucket", "to"))
+        if mixed.isEmpty():
+            return links
+        open_ = named.join(mixed.hint("merge"), "bucket")
+        if not left:
+            break
+        members = stash(open_.select("to", "node", "label").distinct())
+        sized = stash(members.join(kept.select("node", F.length("text").alias("chars")).hint("merge"), "node").groupBy("to").agg(F.count("*").alias("n"), F.ceil(F.sum("chars") / part).cast("int").alias("parts")))
+        first_ones = with_first(members, sized, "label", "parts", "mark").mapInArrow(_heads(shingle, least), "to long, part long, node long, label long, mark binary, size long, head binary")
+        met = stash(first_ones.repartition(p, "to", "part").sortWithinPartitions("to", "part").mapInArrow(_meetings(least, hot), "bucket long, node long, to long").distinct())
+        links = links.union(compared(met))
+        groups = met.where("bucket IS NOT NULL")
+        if groups.isEmpty():
+            return links
     blocks = F.ceil(F.col("n") / block).cast("int")
     dealt = open_.select("bucket", "node", "label", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
-    dealt = dealt.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "label", "node").join(kept.hint("merge"), "node")
+    dealt = dealt.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "label", "node").join(kept.select("node", "text").hint("merge"), "node")
     dealt = dealt.select("bucket", "i", "j", "block", "label", "node", "text").repartition(p, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
     return links.union(stash(dealt.mapInArrow(_with_others(shingle, least), "node long, to long")))
 
 
-def similar_components(docs: DataFrame, shingle: int, least: float, most: int = MEMBERS, block: int = BLOCK, held: int = HELD) -> DataFrame:
+def similar_components(docs: DataFrame, shingle: int, least: float, **limits: int) -> DataFrame:
     """(doc_id, thash, component_id) for each document: components of the texts whose sets of shingles have a Jaccard
     similarity of `least` or more, of all pairs whose fingerprints meet and are close."""
     found = stash(shingled(docs, shingle, least))
     one = F.struct("thash", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
     classes = stash(found.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(one).alias("one"), F.min("mark").alias("mark")))
-    reach = components(similar_links(docs, classes.select("node", "one", "mark"), shingle, least, most, block, held))
+    reach = components(similar_links(docs, classes.select("node", "one", "mark"), shingle, least, **limits))
     member = stash(classes.select("node", "rep").join(reach.hint("merge"), "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root")))
     named = with_least(member).select("node", "component_id")
     return found.select("doc_id", "thash", "node").join(named.hint("merge"), "node").select("doc_id", "thash", "component_id")
@@ -560,9 +737,9 @@ def survivors(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
     return _one_of_each(docs, near_components(docs, shingle, bits))
 
 
-def dissimilar(docs: DataFrame, shingle: int = 5, least: float = 0.8, most: int = MEMBERS, block: int = BLOCK, held: int = HELD) -> DataFrame:
-    """One document of each component of texts whose sets of shingles have a Jaccard similarity of `least` or more."""
-    return _one_of_each(docs, similar_components(docs, shingle, least, most, block, held))
+def dissimilar(docs: DataFrame, shingle: int = 5, least: float = 0.8, **limits: int) -> DataFrame:
+    """One document of each component of texts whose sets of shingles have a Jaccard similarity of `least` or more; limits as of similar_links."""
+    return _one_of_each(docs, similar_components(docs, shingle, least, **limits))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

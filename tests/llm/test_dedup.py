@@ -140,6 +140,46 @@ def test_pipeline_pairs_come_by_fingerprints(make, prose, monkeypatch):
     assert sorted(r.doc_id for r in simhash.dissimilar(make(rows)).collect()) == [0, 1]
 
 
+def copies_apart(prose, n):
+    """Copies of one text, each edited in other places; and what is left of them, by all pairs."""
+    base = prose(5, 150)
+    rows = [(i, edited(base, 1 + i % 9, i)) for i in range(n)]
+    words = [t.lower().split() for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    comp = closed(n, [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if len(a & b) >= 0.8 * len(a | b)])
+    return rows, sorted(set(comp))
+
+
+def test_copies_edited_apart_meet_in_no_blocks(make, prose, monkeypatch):
+    """A group of many components sends each class on once, not once for each block of others."""
+    rows, want = copies_apart(prose, 90)
+    monkeypatch.setattr(simhash, "_with_others", None)
+    assert sorted(r.doc_id for r in simhash.dissimilar(make(rows), block=2).collect()) == want and 10 < len(want) < 80
+
+
+@pytest.mark.parametrize("limits", [{"hot": 0, "part": 900, "rounds": 1}, {"rounds": 0, "block": 7}, {"hot": 1, "part": 9000, "held": 1}])
+def test_groups_left_open_are_compared(make, prose, limits):
+    rows, want = copies_apart(prose, 60)
+    assert sorted(r.doc_id for r in simhash.dissimilar(make(rows), **limits).collect()) == want
+
+
+@pytest.mark.parametrize("hot", [64, 2, 0])
+def test_meetings_against_all_pairs(hot):
+    rng = np.random.default_rng(7)
+    base = np.unique(rng.integers(0, 1 << 64, 90, dtype=np.uint64))
+    sets = [np.unique(np.append(rng.choice(base, 90 - m - k, replace=False), rng.integers(0, 1 << 64, m, dtype=np.uint64))) for m in range(24) for k in (0, 2, 9, 15)]
+    size, node, label = np.array([len(x) for x in sets]), rng.permutation(len(sets)) + 1000, np.arange(len(sets)) % 7
+    ordered = [np.concatenate([x[~np.isin(x, base)], x[np.isin(x, base)]])[: simhash.heads(np.array(len(x)), 0.8)[1]] for x in sets]
+    head = [x.tobytes() + np.arange(len(x), dtype=np.int32).tobytes() for x in ordered]
+    mark = np.frombuffer(b"".join(m[:164].ljust(168, b"\0") for m in simhash.marks(sets, 0.8)), np.uint64).reshape(len(sets), -1)
+    pairs, groups = simhash.meetings(node, label, mark, size, head, 0.8, hot)
+    met = {tuple(p) for p in pairs.T.tolist()}
+    under = [set(g[1].tolist()) for g in groups]
+    like = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if node[i] > node[j] and label[i] != label[j] and len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))]
+    assert len(like) > 100 and all((node[i], node[j]) in met or any({node[i], node[j]} <= g for g in under) for i, j in like)
+    assert (hot < 64) == bool(groups) and all(g[2][0] in g[1] for g in groups)
+
+
 def test_similar_sets_against_all_pairs():
     rng = np.random.default_rng(4)
     base = [np.unique(rng.integers(0, 1 << 62, 100)) for _ in range(5)]
